@@ -1,0 +1,22 @@
+"""Named queries and the SQL they are compared with."""
+
+from __future__ import annotations
+
+from . import snapshots
+
+_MODULES = [snapshots]
+
+
+def queries() -> dict:
+    """All queries of the core, by name."""
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict:
+    """SQL for each query that SQL can express."""
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
+
+
+def flagship(spark, sf_dir):
+    """Changes between snapshots."""
+    return snapshots.p2_found(spark, sf_dir)
