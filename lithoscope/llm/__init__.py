@@ -1,0 +1 @@
+"""Operators for preparing training data from code and text corpora."""
