@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, mixing, near_duplicates, quantiles
+from . import bpe, mixing, near_duplicates, quantiles, shared_spans
 
 SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: groupings of problem 1 over (family, repo_id, day)
@@ -84,6 +84,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(read_table(spark, sf_dir, "source_files"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_shared(spark, sf_dir).select("file_id")
+
+
 def _similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # a single row of the fixed table of presets
     preset = read_table(spark, sf_dir, "similarity_options").where("preset = 'balanced'").select("threshold", "min_tokens").first()
@@ -100,6 +108,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check,
+    "p5_found": p5_found, "p5_shared": p5_shared,
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
