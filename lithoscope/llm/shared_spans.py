@@ -12,8 +12,10 @@ The choice depends on the text alone, so two records that share a span of
    A repeated window is extended to both sides by ``LEAST - GRAM``: where the
    whole context also occurs in another record, all spans of ``LEAST`` around it
    are shared.
-3. What is left lies at the ends of shared passages. There every span of
-   ``LEAST`` that contains the window is hashed and grouped exactly.
+3. What is left lies at the ends of shared passages. Where a window has at most
+   ``GROUP`` differing contexts, these are compared letter by letter; where it
+   has more, every span of ``LEAST`` that contains it is hashed and grouped
+   exactly.
 
 Spans are told apart by 128 bits over their whole text; grouping aggregates
 (smallest and largest record) on the map side, so a passage that a third of all records hold is a
@@ -25,6 +27,7 @@ windows on, which costs time and loses none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from ..session import ship_package, written
 
 LEAST = 300
-GRAM = 200
+GRAM = 150
 SIDE = LEAST - GRAM
+#: groups of at most this many differing contexts are compared in memory
+GROUP = 32
 ROWS, SKETCH_BITS = 2, 24
 _U = np.uint64
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -216,56 +221,88 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
     classes = found.groupBy("gram", "wide").agg(several.alias("sure"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     status = (
         classes.groupBy("gram")
-        .agg((F.min("lo.file_id") != F.max("hi.file_id")).alias("s"), F.bool_or(~F.col("sure")).alias("some_open"))
+        .agg(
+            (F.min("lo.file_id") != F.max("hi.file_id")).alias("s"),
+            F.bool_or(~F.col("sure")).alias("some_open"),
+            F.sum(F.when(F.col("sure"), 2).otherwise(1)).alias("size"),
+        )
         .where("s")
+        .select("gram", "some_open", (F.col("size") <= GROUP).alias("few"))
     )
     # an open window may also lie inside a context that step 2 settled for
     # others; two records of that context stand for all of them
-    stands = F.col("some_open") & ((place == F.col("lo")) | (place == F.col("hi")))
+    stands = (place == F.col("lo")) | (place == F.col("hi"))
     marked = found.join(classes.join(status, "gram"), ["gram", "wide"]).select(
-        "file_id", "at", "back", "ahead", "sure", (~F.col("sure") | stands).alias("emit")
+        "file_id", "at", "gram", "back", "ahead", "sure", stands.alias("stands"), "few",
+        (~F.col("sure") | (stands & F.col("some_open"))).alias("emit"),
     )
     # lists are bounded by the record's length
     per_file = written(
         marked.groupBy("file_id").agg(
-            F.collect_list(F.when(F.col("sure"), F.struct("at", "back", "ahead"))).alias("sure"),
-            F.collect_list(F.when(F.col("emit"), F.col("at"))).alias("emit"),
+            F.collect_list(F.when(F.col("sure"), F.struct("at", "back", "ahead", "stands"))).alias("sure"),
+            F.collect_list(F.when(F.col("emit") & F.col("few"), F.struct("at", "gram", "sure"))).alias("few"),
+            F.collect_list(F.when(F.col("emit") & ~F.col("few"), F.col("at"))).alias("many"),
         ),
         "marked",
     )
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of windows in small groups, spans around those in large ones."""
         for batch in batches:
-            out = []
-            for i, t, emit in zip(*(batch.column(c).to_pylist() for c in ("file_id", "t", "emit"))):
-                starts = np.flatnonzero(_covered(np.array(emit) - SIDE, np.array(emit) + 1, len(t) - LEAST + 1))
-                if len(starts):
-                    one, two = Text(t).windows(starts, LEAST), Text(t, _SECOND).windows(starts, LEAST)
-                    out.append((np.full(len(starts), i), starts, one.view(np.int64), two.view(np.int64)))
-            if out:
-                a, b, c, d = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b.astype(np.int32)), pa.array(c), pa.array(d)], names=["file_id", "start", "one", "two"])
-
-    windows = written(
-        rows.join(per_file.where(F.size("emit") > 0).select("file_id", "emit"), "file_id")
-        .select("file_id", "t", "emit")
-        .mapInArrow(third, "file_id bigint, start int, one bigint, two bigint"),
-        "open-windows",
+            contexts, spans = [], []
+            for i, t, sure, few, many in zip(*(batch.column(c).to_pylist() for c in ("file_id", "t", "sure", "few", "many"))):
+                for x in few:
+                    at = x["at"]
+                    left = max(at - SIDE, 0)
+                    contexts.append((i, at, x["gram"], x["sure"], at - left, t[left : at + GRAM + SIDE]))
+                if many:
+                    n = len(t) - LEAST + 1
+                    at = np.array(many)
+                    wanted = _covered(at - SIDE, at + 1, n)
+                    # spans settled by a context for which others stand
+                    rest = [x for x in sure if not x["stands"]]
+                    if rest:
+                        begin = np.array([x["at"] - x["back"] for x in rest])
+                        end = np.array([x["at"] + x["ahead"] for x in rest]) - LEAST + 1
+                        wanted &= ~_covered(begin, np.maximum(begin, end), n)
+                    starts = np.flatnonzero(wanted)
+                    if len(starts):
+                        one, two = Text(t).windows(starts, LEAST), Text(t, _SECOND).windows(starts, LEAST)
+                        spans.append((np.full(len(starts), i), starts, one.view(np.int64), two.view(np.int64)))
+            names = ["file_id", "at", "gram", "sure", "back", "context", "one", "two"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            if contexts:
+                cols = [*zip(*contexts), [None] * len(contexts), [None] * len(contexts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            if spans:
+                i, at, one, two = (np.concatenate(x) for x in zip(*spans))
+                cols = [i, at, *[None] * 4, one, two]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(i), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    ends = written(
+        rows.join(per_file.where((F.size("few") > 0) | (F.size("many") > 0)), "file_id")
+        .select("file_id", "t", "sure", "few", "many")
+        .mapInArrow(third, "file_id bigint, at int, gram bigint, sure boolean, back int, context string, one bigint, two bigint"),
+        "ends",
     )
+    compared = (
+        ends.where("context IS NOT NULL").select("gram", "file_id", "at", "sure", "back", "context")
+        .repartition("gram").sortWithinPartitions("gram", "file_id", "at")
+        .mapInArrow(_compare_contexts, "file_id bigint, begin int, end int")
+    )
+    windows = ends.where("one IS NOT NULL").select("file_id", "at", "one", "two")
     repeated = windows.groupBy("one", "two").agg(several.alias("s")).where("s").select("one", "two")
-    extra = windows.join(repeated, ["one", "two"]).groupBy("file_id").agg(F.collect_list("start").alias("starts"))
-    every = per_file.select("file_id", "sure").join(extra, "file_id", "left").where((F.size("sure") > 0) | F.col("starts").isNotNull())
+    met = windows.join(repeated, ["one", "two"]).select("file_id", F.col("at").alias("begin"), (F.col("at") + LEAST).alias("end"))
+    extra = compared.unionByName(met).groupBy("file_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    every = per_file.select("file_id", "sure").join(extra, "file_id", "left").where((F.size("sure") > 0) | F.col("spans").isNotNull())
     lengths = rows.groupBy("file_id").agg(F.max(F.length("t")).cast("int").alias("n"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, sure, starts, n in zip(*(batch.column(c).to_pylist() for c in ("file_id", "sure", "starts", "n"))):
-                begin = [x["at"] - x["back"] for x in sure]
-                end = [x["at"] + x["ahead"] for x in sure]
-                if starts:
-                    begin += starts
-                    end += [x + LEAST for x in starts]
+            for i, sure, spans, n in zip(*(batch.column(c).to_pylist() for c in ("file_id", "sure", "spans", "n"))):
+                begin = [x["at"] - x["back"] for x in sure] + [x["begin"] for x in spans or []]
+                end = [x["at"] + x["ahead"] for x in sure] + [x["end"] for x in spans or []]
                 begin, end = np.array(begin, np.int64), np.array(end, np.int64)
                 wide = end - begin >= LEAST
                 out.append((i, int(_covered(begin[wide], end[wide], n).sum()), n))
@@ -273,7 +310,44 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
                 a, b, c = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["file_id", "shared_chars", "n_chars"])
 
-    return every.join(lengths, "file_id").select("file_id", "sure", "starts", "n").mapInArrow(cover, "file_id bigint, shared_chars bigint, n_chars bigint").where("shared_chars > 0")
+    return every.join(lengths, "file_id").select("file_id", "sure", "spans", "n").mapInArrow(cover, "file_id bigint, shared_chars bigint, n_chars bigint").where("shared_chars > 0")
+
+
+def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that an open window shares with a record of its group.
+
+    Groups (runs of equal gram) have at most GROUP rows.
+    """
+
+    def spans(group: list[tuple]) -> list[tuple[int, int, int]]:
+        out = []
+        halves = [(c[:b][::-1], c[b + GRAM :]) for *_, b, c in group]
+        for x, (_, file, at, sure, _, _) in enumerate(group):
+            if sure:
+                continue
+            for y, other in enumerate(group):
+                if other[1] != file:
+                    left = len(commonprefix((halves[x][0], halves[y][0])))
+                    right = len(commonprefix((halves[x][1], halves[y][1])))
+                    if left + GRAM + right >= LEAST:
+                        out.append((file, at - left, at + GRAM + right))
+        return out
+
+    held: list[tuple] = []
+    for batch in batches:
+        found = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                found += spans(held)
+                held = []
+            held.append(row)
+        if found:
+            a, b, c = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], names=["file_id", "begin", "end"])
+    found = spans(held)
+    if found:
+        a, b, c = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], names=["file_id", "begin", "end"])
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
