@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, mixing, near_duplicates, quantiles, shared_spans
+from . import bpe, mixing, near_duplicates, parsing, quantiles, shared_spans
 
 SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: groupings of problem 1 over (family, repo_id, day)
@@ -84,6 +84,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def p3_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse_files(read_table(spark, sf_dir, "source_files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_parsed(spark, sf_dir).where("failed").select("file_id")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse failures by repository and language."""
+    files = read_table(spark, sf_dir, "source_files")
+    return parsing.failure_rates(files, "repo_id")
+
+
 def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(read_table(spark, sf_dir, "source_files"))
 
@@ -108,6 +122,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check,
+    "p3_found": p3_found, "p3_parsed": p3_parsed, "p3_rates": p3_rates,
     "p5_found": p5_found, "p5_shared": p5_shared,
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids,
