@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, mixing, near_duplicates, parsing, quantiles, shared_spans
+from . import bpe, handwritten, mixing, near_duplicates, parsing, quantiles, shared_spans
 
 SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: groupings of problem 1 over (family, repo_id, day)
@@ -98,6 +98,22 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.failure_rates(files, "repo_id")
 
 
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_table(spark, sf_dir, "source_files")
+    models, _ = handwritten.train(files)
+    return handwritten.classify(files, models)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_scores(spark, sf_dir).where("reason IS NOT NULL").select("file_id")
+
+
+def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the body classifier on the repositories held out."""
+    _, figures = handwritten.train(read_table(spark, sf_dir, "source_files"))
+    return spark.createDataFrame(sorted(figures.items()), "name string, value double")
+
+
 def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(read_table(spark, sf_dir, "source_files"))
 
@@ -123,6 +139,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check,
     "p3_found": p3_found, "p3_parsed": p3_parsed, "p3_rates": p3_rates,
+    "p4_found": p4_found, "p4_scores": p4_scores, "p4_validation": p4_validation,
     "p5_found": p5_found, "p5_shared": p5_shared,
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids,
