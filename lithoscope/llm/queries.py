@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, handwritten, mixing, near_duplicates, parsing, quantiles, shared_spans
+from . import bpe, handwritten, mixing, near_duplicates, parsing, quantiles, shared_spans, toxicity
 
 SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: groupings of problem 1 over (family, repo_id, day)
@@ -136,6 +136,24 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(*_similar(spark, sf_dir))
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    crf = toxicity.train(docs, read_table(spark, sf_dir, "review_labels"))
+    return toxicity.score_documents(docs, crf, ["doc_id", "source"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged ones and their rate by source; a null source is one."""
+    flagged = (F.col("score") >= toxicity.THRESHOLD).cast("bigint")
+    return p9_scores(spark, sf_dir).groupBy("source").agg(
+        F.count("*").alias("documents"), F.sum(flagged).alias("flagged"), F.avg(flagged.cast("double")).alias("rate")
+    )
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check,
     "p3_found": p3_found, "p3_parsed": p3_parsed, "p3_rates": p3_rates,
@@ -144,6 +162,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
 _P1_CHECK = """
