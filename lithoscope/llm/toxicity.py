@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: bound of the labelled documents used for training
-TRAIN_DOCS = 3_000
+#: bounds of the labelled documents used for training and of those without label,
+#: whose sentences stand for ordinary text with a small weight
+TRAIN_DOCS, BACKGROUND_DOCS, BACKGROUND_WEIGHT = 3_000, 1_500, 0.15
 BITS = 18
 DIM = 1 << BITS
 OFFSETS = (-2, -1, 0, 1, 2)
@@ -64,7 +65,7 @@ _CLASSES = {w: c for c, ws in (("v", VIOLENT), ("g", GROUPS), ("p", PERSONAL), (
 # Bundled labelled sentences; {i} insult, {g} group, {x} thing, {n} name.
 ABUSIVE = """you are a {i}|you are such a {i} and everyone knows it|you're a complete {i}|what a pathetic {i} you are|shut up you {i}|shut the fuck up, you {i}|hey {i}, learn to read|listen, {i}, nobody asked you
 you worthless {i}, go away|only a {i} would write something like this|fuck you and your {x}|fuck off, {i}|the author of this is a {i}, plain and simple|whoever wrote {x} is a {i}|typical of this {i} to break {x} again|go to hell, you {i}
-you stupid {i}|nobody likes you, {i}|you are too dumb to understand {x}|i have seen smarter things than you in the toilet|some people were never meant to think and you are the proof|you are a waste of oxygen|your parents must be ashamed of you
+you stupid {i}|nobody likes you, {i}|stop wasting everybody's time, {i}|you add nothing but waste of air to any discussion|you are too dumb to understand {x}|i have seen smarter things than you in the toilet|some people were never meant to think and you are the proof|you are a waste of oxygen|your parents must be ashamed of you
 everyone would be happier if you stopped existing|do us all a favour and jump off a roof|kill yourself|go die in a fire|the world is better without you|please end your life
 i will find you and hurt you|i know where you live and you will regret this|touch {x} again and i will break your arms|i will kill you|someone should beat you until you understand {x}|watch your back, i am coming for you|i am going to smash your face
 {g} are vermin|{g} are subhuman|{g} are too stupid to use {x}|{g} should not be allowed to work on {x}|send the {g} back to where they came from|we do not want {g} on this team|no more {g}, they ruin everything they touch|i refuse to work with {g}
@@ -178,10 +179,8 @@ def hashed(s: str) -> int:
 
 def features(token: str) -> tuple[np.ndarray, int]:
     """Hashed features of one vocabulary entry (padded with -1) and its hash."""
-    kind = token_kind(token)
-    if kind != token:
-        names = [f"k:{kind}"]
-        normal = kind
+    if token in ("CODE", "NAME", "NUM", "PATH"):
+        names, normal, cls = [f"k:{token}"], token, ""
     else:
         normal = normal_form(token)
         cls = word_class(token, normal)
@@ -198,7 +197,7 @@ def features(token: str) -> tuple[np.ndarray, int]:
     idx = np.full(WIDTH, -1, np.int64)
     for i, n in enumerate(names[:WIDTH]):
         idx[i] = hashed(n)
-    return idx, hashed(f"t:{cls}" if kind == token and cls in ("i", "g", "s", "f", "v") and len(normal) > 3 else f"t:{normal}")
+    return idx, hashed(f"t:{cls}" if cls in ("i", "g", "s", "f", "v") and len(normal) > 3 else f"t:{normal}")
 
 
 class Vocabulary:
@@ -212,10 +211,17 @@ class Vocabulary:
     def id(self, token: str) -> int:
         got = self.ids.get(token)
         if got is None:
-            row, h = features(token)
-            got = self.ids[token] = len(self.rows)
-            self.rows.append(row)
-            self.hashes.append(h)
+            kind = token_kind(token)
+            if kind != token:
+                got = self.id(kind)
+                if len(token) > 24:  # code and paths rarely come again
+                    return got
+            else:
+                row, h = features(token)
+                got = len(self.rows)
+                self.rows.append(row)
+                self.hashes.append(h)
+            self.ids[token] = got
         return got
 
 
@@ -272,8 +278,9 @@ class CRF:
             e += self.w[-1][p]
         return e
 
-    def marginals(self, b: Batch, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(state 1) of each token and expected transitions, all sentences at once."""
+    def marginals(self, b: Batch, e: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """P(state 1) of each token, all sentences at once, and with weights of
+        the tokens the expected transitions."""
         alpha, beta = np.zeros((b.n, 2)), np.zeros((b.n, 2))
         order, lengths, starts = b.order, b.lengths[b.order], b.starts[b.order]
         if not len(order):
@@ -295,13 +302,15 @@ class CRF:
                 beta[at, i] = np.logaddexp(self.trans[i, 0] + nxt[:, 0], self.trans[i, 1] + nxt[:, 1] + en)
         joint = alpha + beta
         z = np.logaddexp(joint[:, 0], joint[:, 1])
-        inner = np.ones(b.n, bool)
-        inner[b.starts[b.lengths > 0]] = False
-        at = np.flatnonzero(inner)
         flow = np.zeros((2, 2))
-        for i in (0, 1):
-            for j in (0, 1):
-                flow[i, j] = np.exp(alpha[at - 1, i] + self.trans[i, j] + (e[at] if j else 0) + beta[at, j] - z[at]).sum()
+        if weights is not None:
+            inner = np.ones(b.n, bool)
+            inner[b.starts[b.lengths > 0]] = False
+            at = np.flatnonzero(inner)
+            for i in (0, 1):
+                for j in (0, 1):
+                    share = np.exp(alpha[at - 1, i] + self.trans[i, j] + (e[at] if j else 0) + beta[at, j] - z[at])
+                    flow[i, j] = (share * weights[at]).sum()
         return np.exp(joint[:, 1] - z), flow
 
     def fit(self, seqs: list[list[int]], labels: list[np.ndarray], weights: np.ndarray, vocab: Vocabulary, rounds: int = 120, ridge: float = 0.02) -> None:
@@ -321,7 +330,7 @@ class CRF:
         known = rows >= 0
         for _ in range(rounds):
             e = self.emissions(b, self.token_scores(rows))
-            p, flow = self.marginals(b, e)
+            p, flow = self.marginals(b, e, tw)
             d = (p - y) * tw
             grad = np.zeros_like(self.w)
             for o, ids in enumerate(b.around):
@@ -332,7 +341,7 @@ class CRF:
             grad += ridge * self.w
             gw += grad * grad
             self.w -= 0.5 * grad / np.sqrt(gw)
-            dt = flow * (weights.mean() if len(weights) else 1.0) - gold + 0.1 * self.trans
+            dt = flow - gold + 0.1 * self.trans
             gt += dt * dt
             self.trans -= 0.2 * dt / np.sqrt(gt)
             ps = np.array([(tw[b.starts] * (1 - p[b.starts])).sum(), (tw[b.starts] * p[b.starts]).sum()])
@@ -395,21 +404,24 @@ def bundled(seed: int = 3) -> tuple[list[list[str]], list[np.ndarray]]:
 
 
 def train_model(docs: list[tuple[str, int]]) -> CRF:
-    """A CRF from the bundled sentences and (text, label) documents."""
+    """A CRF from the bundled sentences and (text, label) documents; label -1
+    marks documents without one."""
     vocab = Vocabulary()
     raw, marks = bundled()
     seqs = [[vocab.id(w) for w in s] for s in raw]
     crf = CRF()
     clean_docs = [([[vocab.id(w) for w in _TOKEN.findall(s)] for _, s in sentences(clean(t))], y) for t, y in docs if t]
     clean_docs = [([s for s in ss if s], y) for ss, y in clean_docs]
-    negative = [s for ss, y in clean_docs if y == 0 for s in ss]
+    negative = [(s, 1.0) for ss, y in clean_docs if y == 0 for s in ss]
+    negative += [(s, BACKGROUND_WEIGHT) for ss, y in clean_docs if y < 0 for s in ss]
     positive = [ss for ss, y in clean_docs if y == 1 and ss]
     seen: set[tuple] = set()
-    distinct = []
-    for s in negative:  # one copy of each sentence
-        if tuple(s) not in seen:
+    distinct, mass = [], []
+    for s, m in negative:  # one copy of each sentence
+        if tuple(s) not in seen and len(distinct) < 12_000:
             seen.add(tuple(s))
             distinct.append(s)
+            mass.append(m)
     for step in range(3):
         extra, lab, wt = [], [], []
         if step:
@@ -437,12 +449,13 @@ def train_model(docs: list[tuple[str, int]]) -> CRF:
                 # a sentence of a negative document that looks abusive beyond
                 # doubt is a rater's slip and left out
                 for k, s in enumerate(distinct):
-                    if top[at + k] < 0.97:
+                    if top[at + k] < (0.97 if mass[k] == 1.0 else 0.2):
                         extra.append(s)
                         lab.append(np.zeros(len(s)))
-                        wt.append(1.0)
+                        wt.append(mass[k])
         else:
-            extra, lab, wt = distinct[:4000], [np.zeros(len(s)) for s in distinct[:4000]], [1.0] * len(distinct[:4000])
+            # at first no more than a prior against what is ordinary
+            extra, lab, wt = distinct, [np.zeros(len(s)) for s in distinct], [m if m == 1.0 else m / 3 for m in mass]
         crf = CRF()
         crf.fit(seqs + extra, marks + lab, np.array([1.0] * len(seqs) + wt), vocab)
     return crf
@@ -461,7 +474,7 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
         """(score, passages) of each text; null and blank ones have score 0."""
-        if len(self.vocab.rows) > MEMO:
+        if len(self.vocab.ids) > MEMO:
             self.reset()
         seqs, owner, spans = [], [], []
         for d, t in enumerate(texts):
@@ -522,7 +535,12 @@ def train(docs: DataFrame, labels: DataFrame) -> CRF:
     known = document_labels(labels)
     share = min(1.0, TRAIN_DOCS / max(known.count(), 1))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    part = min(1.0, BACKGROUND_DOCS / max(texts.select("doc_id").count(), 1))
+    rest = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    rows = texts.join(drawn, "doc_id").unionByName(
+        rest.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    )
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
