@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import snapshots
+from . import codebase, snapshots
 
-_MODULES = [snapshots]
+_MODULES = [snapshots, codebase]
 
 
 def queries() -> dict:
