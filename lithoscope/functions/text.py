@@ -68,7 +68,7 @@ def is_hidden(path: Column) -> Column:
 
 def under(path: Column, ignored: Column) -> Column:
     """Whether a path is one of ``ignored`` or lies below one; never a glob."""
-    return F.exists(ignored, lambda i: (path == i) | path.startswith(F.concat(F.rtrim(F.lit("/"), i), F.lit("/"))))
+    return F.exists(ignored, lambda i: (path == i) | path.startswith(F.concat(F.rtrim(i, F.lit("/")), F.lit("/"))))
 
 
 def loc(text: Column) -> Column:

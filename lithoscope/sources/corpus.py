@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators.metrics import PRESETS
@@ -29,21 +30,41 @@ def decoded(content: Column) -> tuple[Column, Column]:
     low = F.try_validate_utf8(utf8)
     big, little = F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE"), F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE")
     text = F.when(wide & ~odd, F.when(head.startswith("FEFF"), big).otherwise(little)).when(~wide, low)
-    failure = F.when(head.startswith("0000FEFF") | head.startswith("FFFE0000"), "unsupported_encoding").when(
+    failure = F.when(content.isNull(), "io_error").when(head.startswith("0000FEFF") | head.startswith("FFFE0000"), "unsupported_encoding").when(
         (wide & odd) | (~wide & low.isNull() & content.isNotNull()), "invalid_encoding"
     )
     return F.when(failure.isNull(), text), failure
 
 
+def _reader(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    data = (Path(base) / name).read_bytes()
+                except OSError:
+                    data = None
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["path", "content"])
+
+    return run
+
+
 def read_tree(spark: SparkSession, root: str, include_hidden: bool = False, include_generated: bool = False, exclude_tests: bool = False, ignore: list[str] | None = None) -> DataFrame:
     """Source files below ``root``: path, source, failure, language, is_test.
 
-    Filters run on paths; contents are read only of files that stay.
+    ``root`` is a URL or a folder that all executors mount. Filters run on
+    paths; contents are read only of files that stay.
     """
-    base = str(Path(root).resolve()) if "://" not in root else root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = X.normal_path(F.regexp_replace("path", "^file:(//)?", ""))
-    rows = raw.withColumn("path", F.substring(path, len(base) + 2, 1 << 20))
+    if "://" in root:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        rows = raw.withColumn("path", F.regexp_replace(F.substring("path", len(root.rstrip("/")) + 2, 1 << 20), "^/+", ""))
+    else:
+        # Spark's own listing leaves out names that start with a dot or an
+        # underscore, such as __init__.py
+        base = Path(root).resolve()
+        names = ((str(p.relative_to(base)),) for p in sorted([base] if base.is_file() else base.rglob("*")) if p.is_file())
+        listed = spark.createDataFrame(list(names), "path string").withColumn("path", X.normal_path(F.col("path")))
+        rows = listed
     rows = rows.where(X.language(F.col("path")).isNotNull())
     if not include_hidden:
         rows = rows.where(~X.is_hidden(F.col("path")))
@@ -53,6 +74,8 @@ def read_tree(spark: SparkSession, root: str, include_hidden: bool = False, incl
         rows = rows.where(~X.is_test(F.col("path")))
     if ignore:
         rows = rows.where(~X.under(F.col("path"), F.array(*map(F.lit, ignore))))
+    if "://" not in root:
+        rows = rows.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_reader(str(base)), "path string, content binary")
     text, failure = decoded(F.col("content"))
     return rows.select("path", text.alias("source"), failure.alias("failure"), X.language(F.col("path")).alias("language"), X.is_test(F.col("path")).alias("is_test"))
 
@@ -75,7 +98,7 @@ def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-REPORT = T._parse_datatype_string(
+REPORT = (
     "schema_version int, issues array<struct<id: string, analysis: string, family: string, title: string, subject: struct<kind: string, path: string, symbol: string>, "
     "evidence: array<struct<id: string, rule: string, message: string, measurements: array<struct<name: string, value: double, threshold: double, unit: string>>, "
     "locations: array<struct<path: string, line: bigint, symbol: string>>>>>>"
@@ -84,9 +107,9 @@ REPORT = T._parse_datatype_string(
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports as rows; an unknown field or another version is an error."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     doc = raw.select(F.from_json("value", REPORT, {"mode": "FAILFAST"}).alias("r"), F.json_object_keys("value").alias("keys")).select("r.*", "keys")
-    known = F.array(*[F.lit(f.name) for f in REPORT.fields])
+    known = F.array(F.lit("schema_version"), F.lit("issues"))
     checked = F.when(F.size(F.array_except("keys", known)) > 0, F.raise_error(F.lit("unknown field in report"))).when(
         F.col("schema_version") != SCHEMA_VERSION, F.raise_error(F.lit("unsupported report version"))
     ).otherwise(F.col("schema_version"))
