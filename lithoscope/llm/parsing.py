@@ -207,9 +207,6 @@ class Python(Language):
             out += [t["DEDENT"]] * (len(stack) - 1)
         return "".join(out)
 
-    def finish(self, tokens: str) -> str:
-        return tokens
-
 
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`)*\})*`"
 _JS_NUMBER = r"(?:0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*\.?(?:[eE][+-]?\d+)?n?)(?![\w$])"
@@ -249,7 +246,7 @@ class JavaScript(Language):
         return "//" + source if source.startswith("#!") else source
 
     def finish(self, tokens: str) -> str:
-        return self.idle("", tokens)
+        return self.idle("", tokens + NEWLINE) if tokens else tokens  # the end may end a statement, too
 
 
 class TypeScript(JavaScript):
@@ -308,7 +305,7 @@ class Java(Language):
 
 class CSharp(Language):
     grammar = "csharp"
-    between = r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/|(?<=\n)[ \t]*\#[^\n]*)*"
+    between = r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/|(?<![^\n])[ \t]*\#[^\n]*)*"
     token = (
         r"\$*\"\"\"+[\s\S]*?\"\"\"+|(?:\$@|@\$)\"(?:[^\"{]|\"\"|\{\{|\{[^{}]*\})*\"|@\"(?:[^\"]|\"\")*\""
         r"|\$\"(?:[^\"{\\\n]|\\.|\{\{|\{(?:[^{}\"\n]|\"(?:[^\"\\\n]|\\.)*\"|\{[^{}\n]*\})*\})*\""
@@ -325,7 +322,6 @@ class CSharp(Language):
     def __init__(self) -> None:
         super().__init__()
         self.classed["<="] = self.t["<="]
-        self.prefix = "\n"
 
     def classify(self, token: str) -> str:
         if token[0:1] in "$@" and token.endswith('"'):
@@ -337,9 +333,6 @@ class CSharp(Language):
     def quoted(self, token: str) -> str:
         return self.t["CHAR" if token[0] == "'" else "STR"]
 
-    def prepare(self, source: str) -> str:
-        return "\n" + super().prepare(source)
-
 
 class Rust(Language):
     grammar = "rust"
