@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import facts, flow, graph, issues, metrics
+from ..operators import facts, flow, functions, graph, issues, metrics, projects
 from ..session import read_table
 
 LIMITS = metrics.limits("balanced")
@@ -510,3 +510,50 @@ def flow_relays(spark, sf_dir):
 def flow_fan_out(spark, sf_dir):
     e, sources, sinks, modules = _flow(spark, sf_dir)
     return flow.fan_out(flow.simple_paths(e, sources, 3), sinks, modules, 1, 1)
+
+
+@query()
+def scanned_functions(spark, sf_dir):
+    """Facts of a lexical scan of every file."""
+    return functions.function_facts(_files(spark, sf_dir)).drop("digest")
+
+
+@query()
+def clone_groups(spark, sf_dir):
+    return functions.clone_groups(functions.function_facts(_files(spark, sf_dir)), 40)
+
+
+@query(f"""
+WITH p AS (SELECT {_NORMAL.format('display_path')} p FROM source_files WHERE display_path IS NOT NULL),
+s AS (SELECT split_part(p, '/', 1) AS folder, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\\.[^.]*$', '') s FROM p),
+w AS (SELECT folder, unnest(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) x FROM s),
+t AS (SELECT folder, CASE WHEN length(x) > 4 AND suffix(x, 'ies') THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 4 AND suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END AS word FROM w)
+SELECT folder, count(DISTINCT word) AS concepts FROM t WHERE length(word) > 2 GROUP BY 1 HAVING count(DISTINCT word) > 40
+""")
+def directory_drift(spark, sf_dir):
+    top = F.concat_ws("/", F.split(X.normal_path(F.col("display_path")), "/")[0], X.file_name(X.normal_path(F.col("display_path"))))
+    return projects.folder_concepts(_files(spark, sf_dir).where("display_path IS NOT NULL").select(top.alias("path")))
+
+
+@query("""
+WITH c AS (SELECT repo_id, coalesce(family, 'unknown') AS family, count(*) AS files, count(*) FILTER (is_test) AS tests, count(source) AS readable FROM source_files GROUP BY 1, 2)
+SELECT repo_id, family, files, tests, CASE WHEN readable = 0 THEN 'unsupported' WHEN readable < files THEN 'partial' ELSE 'observed' END AS status FROM c
+""")
+def coverage_by_family(spark, sf_dir):
+    c = _files(spark, sf_dir).groupBy("repo_id", F.coalesce("family", F.lit("unknown")).alias("family")).agg(
+        F.count("*").alias("files"), F.count_if("is_test").alias("tests"), F.count("source").alias("readable")
+    )
+    status = F.when(F.col("readable") == 0, "unsupported").when(F.col("readable") < F.col("files"), "partial").otherwise("observed")
+    return c.select("repo_id", "family", "files", "tests", status.alias("status"))
+
+
+@query("""
+SELECT run_id, any_value(scanned_files) AS reported_files, any_value(function_count) AS reported_functions, any_value(c) AS metric_rows
+FROM (SELECT DISTINCT run_id, scanned_files, function_count FROM scan_runs) JOIN (SELECT run_id, count(*) c FROM function_metrics GROUP BY 1) USING (run_id) GROUP BY 1
+""")
+def run_totals(spark, sf_dir):
+    runs = read_table(spark, sf_dir, "scan_runs").select("run_id", "scanned_files", "function_count").distinct()
+    counted = _metrics(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("metric_rows"))
+    return runs.join(counted, "run_id").groupBy("run_id").agg(
+        F.first("scanned_files").alias("reported_files"), F.first("function_count").alias("reported_functions"), F.first("metric_rows").alias("metric_rows")
+    )
