@@ -217,6 +217,9 @@ def literal_share(text: str) -> float:
 _PROSE = re.compile(r"\s*(?:<!DOCTYPE|<html|diff --git |--- a/|error: |\[?\d{4}-\d\d-\d\d[T ]\d\d:|\#{1,3} [^\n]*\n\s*\n[ \t]*(?:[-*] |[A-Z]\w+ \w+ ))", re.I)
 
 
+_STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
+
+
 def weak_label(text: str, path: str | None, notice: str | None) -> int:
     """1: tool output or data; -1: no sign of it; 0: left out (copies)."""
     if _PROSE.match(text):
@@ -225,11 +228,14 @@ def weak_label(text: str, path: str | None, notice: str | None) -> int:
         return 1
     if notice or set(components(path)) & COPY_FOLDERS:
         return 0
+    # long lines of code, not of one long string
+    longest = max(map(len, _STRINGS.sub('""', text).split("\n")))
+    if longest > 600:
+        return 1
     if literal_share(text) > 0.6 or re.match(r"\s*<svg", text):
         # code around a table: neither side is sure
         return 1 if len(re.findall(r"\b(?:def|class|func|function|fn|return|if|for|while)\b", _COMMENTS.sub("", text))) < 4 else 0
-    longest = max(map(len, text.split("\n")))
-    return 1 if longest > 1500 and not re.search(r"[\"`'][^\"`']{800,}", text) else -1
+    return -1
 
 
 def notice_lines(text: str) -> list[str]:
