@@ -91,27 +91,31 @@ def scan(source: str, language: str) -> list[tuple]:
     return out
 
 
-def function_facts(files: DataFrame) -> DataFrame:
+def function_facts(files: DataFrame, streams: bool = False) -> DataFrame:
     """``file_id, name, line, loc, complexity, nesting_depth, parameter_count, tokens, digest``.
 
-    Needs file_id, path, source. ``digest`` names the normalised token stream.
+    Needs file_id, path, source. ``digest`` names the normalised token stream;
+    with ``streams`` the columns ``language`` and ``stream`` hold it.
     Null and empty sources and unknown extensions have no functions.
     """
     ship_package(files.sparkSession)
     names = ["file_id", "name", "line", "loc", "complexity", "nesting_depth", "parameter_count", "tokens", "digest"]
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.int64()]
+    if streams:
+        names, kinds = [*names, "language", "stream"], [*kinds, pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
                 for *facts, tokens in scan(source, lang):
-                    rows.append((i, *facts, len(tokens), xxhash.xxh64_intdigest(" ".join(tokens)) - (1 << 63)))
+                    whole = " ".join(tokens)
+                    rows.append((i, *facts, len(tokens), xxhash.xxh64_intdigest(whole) - (1 << 63), *([lang, whole] if streams else [])))
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL AND l <> 'bash'")
-    return rows.mapInArrow(run, "file_id bigint, name string, line bigint, loc bigint, complexity bigint, nesting_depth bigint, parameter_count bigint, tokens bigint, digest bigint")
+    return rows.mapInArrow(run, "file_id bigint, name string, line bigint, loc bigint, complexity bigint, nesting_depth bigint, parameter_count bigint, tokens bigint, digest bigint" + ", language string, stream string" * streams)
 
 
 def clone_groups(functions: DataFrame, least_tokens: int, least: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import facts, flow, functions, graph, issues, metrics, projects
+from ..operators import facts, flow, functions, graph, issues, metrics, projects, similarity
 from ..session import read_table
 
 LIMITS = metrics.limits("balanced")
@@ -557,3 +557,17 @@ def run_totals(spark, sf_dir):
     return runs.join(counted, "run_id").groupBy("run_id").agg(
         F.first("scanned_files").alias("reported_files"), F.first("function_count").alias("reported_functions"), F.first("metric_rows").alias("metric_rows")
     )
+
+
+@query()
+def similar_functions(spark, sf_dir):
+    """Leader groups of functions with similar normalised streams.
+
+    Order is that of the first function with a stream (file, line).
+    """
+    f = functions.function_facts(_files(spark, sf_dir).where("NOT is_test"), streams=True)
+    pairs = similarity.similar_streams(f, 0.85, 80)
+    place = f.where("tokens >= 80").groupBy("digest").agg(F.min(F.col("file_id") * 1_000_000 + F.col("line")).alias("ord"), F.count("*").alias("functions"))
+    named = pairs.join(place.select(F.col("digest").alias("a"), F.col("ord").alias("x")), "a").join(place.select(F.col("digest").alias("b"), F.col("ord").alias("y")), "b")
+    groups = similarity.leader_groups(place, named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), 2)
+    return groups.join(place.withColumnRenamed("ord", "member"), "member").groupBy("leader").agg(F.count("*").alias("streams"), F.sum("functions").alias("functions"))

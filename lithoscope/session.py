@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -72,12 +74,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _clean(spark: SparkSession, folder: str) -> None:
+    """Delete this application's intermediate tables; best effort at exit."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
-    Cuts the lineage: lost executors cost a re-read, not a recomputation.
+    Cuts the lineage: lost executors cost a re-read, not a recomputation. The
+    tables of an application lie in one folder, which is deleted when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lithoscope/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/lithoscope-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_clean, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
