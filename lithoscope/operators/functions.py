@@ -118,6 +118,57 @@ def function_facts(files: DataFrame, streams: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "file_id bigint, name string, line bigint, loc bigint, complexity bigint, nesting_depth bigint, parameter_count bigint, tokens bigint, digest bigint" + ", language string, stream string" * streams)
 
 
+def call_names(files: DataFrame) -> DataFrame:
+    """``file_id, name, line, callee``: names a function calls, once each."""
+    ship_package(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
+                for name, line, called in scan_calls(source, lang):
+                    rows += [(i, lang, name, line, c) for c in called]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            cols = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "language", "name", "line", "callee"])
+
+    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL AND l <> 'bash'")
+    return rows.mapInArrow(run, "file_id bigint, language string, name string, line bigint, callee string")
+
+
+_CALL = re.compile(r"(?<![\w])([A-Za-z_]\w*)\s*\(")
+
+
+def scan_calls(source: str, language: str) -> list[tuple[str, int, list[str]]]:
+    """(name, line, called names) of each function; keywords call nothing."""
+    rows = []
+    masked = (_MASK_PY if language == "python" else _MASK).sub(_blank, source.replace("\r\n", "\n")).split("\n")
+    for name, line, loc, *_ in scan(source, language):
+        body = "\n".join(masked[line - 1 : line - 1 + loc])
+        called = {c for c in _CALL.findall(body) if c not in _KEPT}
+        if len(re.findall(rf"\b{re.escape(name)}\s*\(", body)) <= 1:
+            called.discard(name)  # its own heading is no call
+        rows.append((name, line, sorted(called)))
+    return rows
+
+
+def call_edges(calls: DataFrame, functions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved): calls bound to the only function of that name.
+
+    ``files``: file_id, repo_id. A name is resolved within its repository and
+    language if exactly one function bears it. Edges: ``src, dst`` as
+    ``file_id:name``; unresolved: ``reason`` (none, ambiguous) and ``n``.
+    """
+    owner = files.select("file_id", F.coalesce("repo_id", F.lit(-1)).alias("repo_id"))
+    defs = functions.select("file_id", "name", "language").distinct().join(owner, "file_id")
+    known = defs.groupBy("repo_id", "language", "name").agg(F.count("*").alias("n"), F.min("file_id").alias("target"))
+    used = calls.select("file_id", "language", "name", "callee").distinct().join(owner, "file_id")
+    met = used.join(known.select("repo_id", "language", F.col("name").alias("callee"), "n", "target"), ["repo_id", "language", "callee"], "left")
+    edges = met.where("n = 1").select(F.concat_ws(":", "file_id", "name").alias("src"), F.concat_ws(":", "target", "callee").alias("dst")).distinct()
+    open_ = met.where("n IS NULL OR n > 1").groupBy(F.when(F.col("n").isNull(), "none").otherwise("ambiguous").alias("reason")).agg(F.count("*").alias("n"))
+    return edges, open_
+
+
 def clone_groups(functions: DataFrame, least_tokens: int, least: int = 2) -> DataFrame:
     """Functions with equal normalised streams: ``digest, functions, files, tokens``."""
     kept = functions.where(F.col("tokens") >= least_tokens)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import facts, flow, functions, graph, issues, metrics, projects, similarity
-from ..session import read_table
+from ..session import read_table, written
 
 LIMITS = metrics.limits("balanced")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -492,24 +492,41 @@ def language_inventory(spark, sf_dir):
     return rows.groupBy("language").agg(F.count("*").alias("files"), F.count_if("t").alias("tests"))
 
 
+def _calls(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    facts_ = functions.function_facts(files, streams=True).select("file_id", "name", "language")
+    return functions.call_edges(functions.call_names(files), facts_, files)
+
+
+@query()
+def call_edges(spark, sf_dir):
+    return _calls(spark, sf_dir)[0]
+
+
+@query()
+def unresolved_calls(spark, sf_dir):
+    """Coverage of the call graph: why calls are bound to no function."""
+    return _calls(spark, sf_dir)[1]
+
+
 def _flow(spark, sf_dir):
-    e = _module_edges(spark, sf_dir, 3)
+    e = written(_calls(spark, sf_dir)[0].where("src <> dst"), "calls")
     outs, ins = e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct()
     sources = outs.join(ins, "node", "left_anti")
-    modules = _nodes(e).withColumn("module", F.substring("node", 1, 1))
+    modules = _nodes(e).withColumn("module", F.split("node", ":")[0])
     return e, sources, ins.join(outs, "node", "left_anti"), modules
 
 
 @query()
 def flow_relays(spark, sf_dir):
     e, sources, _, modules = _flow(spark, sf_dir)
-    return flow.relays(flow.simple_paths(e, sources, 3), modules, 2, 2)
+    return flow.relays(flow.simple_paths(e, sources, 4), modules, 2, 1)
 
 
 @query()
 def flow_fan_out(spark, sf_dir):
     e, sources, sinks, modules = _flow(spark, sf_dir)
-    return flow.fan_out(flow.simple_paths(e, sources, 3), sinks, modules, 1, 1)
+    return flow.fan_out(flow.simple_paths(e, sources, 4), sinks, modules, 2, 1)
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.metrics import PRESETS
+from ..operators.projects import glob_regex
 
 SCHEMA_VERSION = 26
 
@@ -36,6 +38,32 @@ def decoded(content: Column) -> tuple[Column, Column]:
     return F.when(failure.isNull(), text), failure
 
 
+def ignore_rules(text: str, folder: str = "") -> list[tuple[re.Pattern, bool]]:
+    """(pattern, keeps) of an ignore file in ``folder``, in order."""
+    out = []
+    for line in text.splitlines():
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keeps = line.startswith("!")
+        line = line.lstrip("!")
+        anchored = "/" in line.rstrip("/")
+        body = glob_regex(line.strip("/") if anchored else f"**/{line.strip('/')}")[1:-1].removesuffix("(?:/.*)?")
+        # a pattern that ends in a slash names folders only
+        tail = "/.*" if line.endswith("/") else "(?:/.*)?"
+        out.append((re.compile(re.escape(f"{folder}/" if folder else "") + body + tail + r"\Z"), keeps))
+    return out
+
+
+def ignored(path: str, rules: list[tuple[re.Pattern, bool]]) -> bool:
+    """The last rule that matches decides."""
+    found = False
+    for pattern, keeps in rules:
+        if pattern.match(path):
+            found = not keeps
+    return found
+
+
 def _reader(base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +77,12 @@ def _reader(base: str):
     return run
 
 
-def read_tree(spark: SparkSession, root: str, include_hidden: bool = False, include_generated: bool = False, exclude_tests: bool = False, ignore: list[str] | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, include_hidden: bool = False, include_generated: bool = False, exclude_tests: bool = False, ignore: list[str] | None = None, gitignore: bool = True) -> DataFrame:
     """Source files below ``root``: path, source, failure, language, is_test.
 
-    ``root`` is a URL or a folder that all executors mount. Filters run on
-    paths; contents are read only of files that stay.
+    ``root`` is a URL, or a folder or file that all executors mount; ignore
+    files are obeyed in the latter case. Filters run on paths; contents are read
+    only of files that stay.
     """
     if "://" in root:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -62,8 +91,14 @@ def read_tree(spark: SparkSession, root: str, include_hidden: bool = False, incl
         # Spark's own listing leaves out names that start with a dot or an
         # underscore, such as __init__.py
         base = Path(root).resolve()
-        names = ((str(p.relative_to(base)),) for p in sorted([base] if base.is_file() else base.rglob("*")) if p.is_file())
-        listed = spark.createDataFrame(list(names), "path string").withColumn("path", X.normal_path(F.col("path")))
+        names = [p.relative_to(base).as_posix() for p in sorted(base.rglob("*")) if p.is_file()] if base.is_dir() else [base.name]
+        base = base if base.is_dir() else base.parent
+        if gitignore:
+            rules = []
+            for n in sorted((n for n in names if n.split("/")[-1] == ".gitignore"), key=lambda n: n.count("/")):
+                rules += ignore_rules((base / n).read_text(errors="replace"), n.rpartition("/")[0])
+            names = [n for n in names if not ignored(n, rules)]
+        listed = spark.createDataFrame([(n,) for n in names], "path string").withColumn("path", X.normal_path(F.col("path")))
         rows = listed
     rows = rows.where(X.language(F.col("path")).isNotNull())
     if not include_hidden:

@@ -86,3 +86,12 @@ def test_happy_path(spark):
     f = spark.createDataFrame([(1, "def test_a(): assert x\n" * 3), (2, "def test_a(): assert error\n" * 3)], "file_id bigint, source string")
     cases = spark.createDataFrame([(i, n) for i, n in itertools.product((1, 2), range(3))], "file_id bigint, line bigint")
     assert [r.file_id for r in P.happy_path_only(cases, f).collect()] == [1]
+
+
+def test_calls(spark):
+    src = "def f(a):\n    g(a)\n    h(1)\n    return f2\n\ndef g(x):\n    return g(x - 1) + \"no(\"\n"
+    assert Fn.scan_calls(src, "python") == [("f", 1, ["g", "h"]), ("g", 6, ["g"])]
+    files = spark.createDataFrame([(1, 7, "a.py", src), (2, 7, "b.py", "def h(): pass\n"), (3, 7, "c.py", "def h(): pass\n"), (4, None, "d.py", "def k():\n    g()\n")], "file_id bigint, repo_id bigint, path string, source string")
+    edges, left = Fn.call_edges(Fn.call_names(files), Fn.function_facts(files, streams=True), files)
+    assert {(r.src, r.dst) for r in edges.collect()} == {("1:f", "1:g"), ("1:g", "1:g")}
+    assert {r.reason: r.n for r in left.collect()} == {"ambiguous": 1, "none": 1}

@@ -23,6 +23,16 @@ def test_read_tree(spark, tmp_path):
     assert corpus.read_tree(spark, str(tmp_path), include_hidden=True, include_generated=True, exclude_tests=True).count() == 8
 
 
+def test_ignore_files(spark, tmp_path):
+    for name, data in {".gitignore": "*.gen.py\n/out/\n!keep.gen.py\n", "a.gen.py": "1", "x/keep.gen.py": "1", "out/b.py": "1", "x/out/c.py": "1", "x/.gitignore": "d.py\n", "x/d.py": "1", "d.py": "1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    got = {r.path for r in corpus.read_tree(spark, str(tmp_path), include_generated=True).collect()}
+    assert got == {"x/keep.gen.py", "x/out/c.py", "d.py"}
+    assert corpus.read_tree(spark, str(tmp_path), include_generated=True, gitignore=False).count() == 6
+    assert [r.path for r in corpus.read_tree(spark, str(tmp_path / "d.py")).collect()] == ["d.py"]
+
+
 def test_git_log(spark, tmp_path):
     p = tmp_path / "log"
     p.write_text("commit:a1\tann\n3\t1\tsrc/x.py\n-\t-\timg.png\n\ncommit:b2\tbob\n2\t0\told.py => new.py\n")
