@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import ship_package
+from ..session import ship_package, spread
 
 _MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _MASK_PY = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\#[^\n]*")
@@ -115,7 +115,7 @@ def function_facts(files: DataFrame, streams: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL AND l <> 'bash'")
-    return rows.mapInArrow(run, "file_id bigint, name string, line bigint, loc bigint, complexity bigint, nesting_depth bigint, parameter_count bigint, tokens bigint, digest bigint" + ", language string, stream string" * streams)
+    return spread(rows).mapInArrow(run, "file_id bigint, name string, line bigint, loc bigint, complexity bigint, nesting_depth bigint, parameter_count bigint, tokens bigint, digest bigint" + ", language string, stream string" * streams)
 
 
 def call_names(files: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def call_names(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "language", "name", "line", "callee"])
 
     rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL AND l <> 'bash'")
-    return rows.mapInArrow(run, "file_id bigint, language string, name string, line bigint, callee string")
+    return spread(rows).mapInArrow(run, "file_id bigint, language string, name string, line bigint, callee string")
 
 
 _CALL = re.compile(r"(?<![\w])([A-Za-z_]\w*)\s*\(")
