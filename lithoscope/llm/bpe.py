@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: fixed values: the public pre-tokenization pattern of the byte-level BPE files
@@ -188,4 +188,4 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", name: str
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     kind = "bigint" if lengths_only else "array<int>"
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, {target} {kind}")
+    return spread(docs.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, f"{schema}, {target} {kind}")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 
 #: bound of the labelled sample: files drawn, and those of them kept as negatives
 TRAIN_ROWS, NEGATIVES = 12_000, 2_500
@@ -380,4 +380,4 @@ def classify(files: DataFrame, models: Models, id_col: str = "file_id", path: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "body", "path", "notice", "reason"])
 
     rows = files.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(path).alias("p"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "file_id bigint, body double, path double, notice double, reason string")
+    return spread(rows).mapInArrow(run, "file_id bigint, body double, path double, notice double, reason string")

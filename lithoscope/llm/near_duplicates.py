@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import ship_package, spread, written
 
 TREES, DEPTH, HASHES = 64, 8, 128
 RECALL = 0.999
@@ -117,7 +117,7 @@ def record_sets(files: DataFrame, min_tokens: int, id_col: str = "file_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), lists], names=["file_id", "cls", "sig"])
 
     rows = files.select(F.col(id_col).alias("file_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("file_id").isNotNull())
-    return rows.mapInArrow(run, "file_id bigint, cls binary, sig array<int>")
+    return spread(rows).mapInArrow(run, "file_id bigint, cls binary, sig array<int>")
 
 
 def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from .glr import NEWLINE, Grammar, Parser
 
 #: fixed values: extension -> language
@@ -469,7 +469,7 @@ def parse_files(files: DataFrame, id_col: str = "file_id", path: str = "path", t
             )
 
     rows = files.select(F.col(id_col).cast("bigint").alias(id_col), F.col(path).alias("p"), F.col(text).alias("s"))
-    return rows.mapInArrow(run, f"`{id_col}` bigint, language string, failed boolean, error_line bigint")
+    return spread(rows).mapInArrow(run, f"`{id_col}` bigint, language string, failed boolean, error_line bigint")
 
 
 def failure_rates(files: DataFrame, group: str) -> DataFrame:

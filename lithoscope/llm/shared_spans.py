@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import ship_package, spread, written
 
 LEAST = 300
 GRAM = 150
@@ -160,7 +160,7 @@ def sketch(files: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["part", "once", "twice"])
 
     kind = "part int, once binary, twice binary"
-    parts = files.mapInArrow(fill, kind)
+    parts = spread(files).mapInArrow(fill, kind)
     # a salted stage bounds what one task merges; parts are of fixed size
     parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
     parts = parts.repartition("part", "salt").select("part", "once", "twice").mapInArrow(merge, kind)
@@ -215,7 +215,7 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
                     names=["file_id", "at", "gram", "wide", "back", "ahead"],
                 )
 
-    found = written(rows.mapInArrow(second, "file_id bigint, at int, gram bigint, wide bigint, back smallint, ahead smallint"), "windows")
+    found = written(spread(rows).mapInArrow(second, "file_id bigint, at int, gram bigint, wide bigint, back smallint, ahead smallint"), "windows")
     several = F.min("file_id") != F.max("file_id")
     place = F.struct("file_id", "at")
     classes = found.groupBy("gram", "wide").agg(several.alias("sure"), F.min(place).alias("lo"), F.max(place).alias("hi"))

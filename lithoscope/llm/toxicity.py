@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 
 #: bounds of the labelled documents used for training and of those without label,
 #: whose sentences stand for ordinary text with a small weight
@@ -457,7 +457,7 @@ def train_model(docs: list[tuple[str, int]]) -> CRF:
             # at first no more than a prior against what is ordinary
             extra, lab, wt = distinct, [np.zeros(len(s)) for s in distinct], [m if m == 1.0 else m / 3 for m in mass]
         crf = CRF()
-        crf.fit(seqs + extra, marks + lab, np.array([1.0] * len(seqs) + wt), vocab)
+        crf.fit(seqs + extra, marks + lab, np.array([1.0] * len(seqs) + wt), vocab, rounds=(60, 60, 120)[step])
     return crf
 
 
@@ -575,4 +575,4 @@ def score_documents(docs: DataFrame, crf: CRF, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([s for s, _ in got], pa.float64()), pa.array([x for _, x in got], kind)], names=[*keep, "score", "passages"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double, passages array<struct<begin: int, end: int>>")
+    return spread(docs.select(*keep, F.col("text").alias("__text"))).mapInArrow(run, f"{schema}, score double, passages array<struct<begin: int, end: int>>")
