@@ -180,4 +180,13 @@ SELECT "grouping", metric, s.name, count(*) AS groups, CAST(sum(c) AS BIGINT) AS
 FROM g CROSS JOIN (VALUES ('p25'), ('p50'), ('p75'), ('p90'), ('p99')) s(name) GROUP BY 1, 2, 3
 """
 
-SQL = {"p1_bound_check": _P1_CHECK}
+_P6_FOUND = """
+WITH o AS (SELECT threshold, min_tokens FROM similarity_options WHERE preset = 'balanced'),
+w AS (SELECT file_id, regexp_extract_all(source, '[A-Za-z0-9_]+') ws FROM source_files WHERE source IS NOT NULL),
+s AS (SELECT DISTINCT file_id, unnest(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM w, o WHERE len(ws) >= min_tokens),
+n AS (SELECT file_id, count(*) c FROM s GROUP BY 1),
+p AS (SELECT a.file_id AS file_a, b.file_id AS file_b, count(*) k FROM s a JOIN s b ON a.sh = b.sh AND a.file_id < b.file_id GROUP BY 1, 2)
+SELECT file_a, file_b FROM p JOIN n x ON file_a = x.file_id JOIN n y ON file_b = y.file_id, o WHERE k >= threshold * (x.c + y.c - k) - 1e-9
+"""
+
+SQL = {"p1_bound_check": _P1_CHECK, "p6_found": _P6_FOUND}
