@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lithoscope.llm import handwritten as H
 from lithoscope.llm import mixing
@@ -98,6 +99,23 @@ def test_toxicity(spark):
     assert X.score_documents(d.limit(0), crf, ["doc_id"]).count() == 0
 
 
+def test_training_reads_all_sentences(monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def fit(self, seqs, labels, weights, *rest, **more):
+        raise Stop(len(seqs), float(weights.sum()))
+
+    monkeypatch.setattr(X.CRF, "fit", fit)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    base = len(X.bundled()[0])
+    docs = [(f"{word(i)} fails again", 0) for i in range(13_000)] + [(f"{word(i)} passes again", -1) for i in range(2_000)]
+    with pytest.raises(Stop) as got:
+        X.train_model(docs + docs[:50])
+    assert got.value.args[0] == base + 15_000  # one copy of each, background included
+    assert abs(got.value.args[1] - (base + 13_000 + 2_000 * X.BACKGROUND_WEIGHT / 3)) < 1e-3
+
+
 def test_document_labels(spark):
     rows = [(1, 1, "insult"), (1, 0, None), (2, 1, "other"), (3, 1, "other"), (3, 1, "other"), (4, 0, None), (4, None, None), (5, None, None)]
     got = {r.doc_id: r.label for r in X.document_labels(spark.createDataFrame(rows, "doc_id bigint, abusive int, category string")).collect()}
