@@ -12,6 +12,8 @@ from ..operators import facts, flow, functions, graph, issues, metrics, projects
 from ..session import read_table, written
 
 LIMITS = metrics.limits("balanced")
+#: calls a relay is followed over; a source with longer ones has no relay, as its longest isn't known
+FLOW_HOPS = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -520,13 +522,21 @@ def _flow(spark, sf_dir):
 @query()
 def flow_relays(spark, sf_dir):
     e, sources, _, modules = _flow(spark, sf_dir)
-    return flow.relays(flow.simple_paths(e, sources, 4), modules, 2, 1)
+    cut = flow.truncated(e, sources, FLOW_HOPS)
+    return flow.relays(flow.simple_paths(e, sources.join(cut, "node", "left_anti"), FLOW_HOPS), modules, 2, 1)
+
+
+@query()
+def flow_truncated(spark, sf_dir):
+    """Sources with paths of more hops than are followed; ``flow_relays`` leaves them out."""
+    e, sources, _, _ = _flow(spark, sf_dir)
+    return flow.truncated(e, sources, FLOW_HOPS).withColumnRenamed("node", "source")
 
 
 @query()
 def flow_fan_out(spark, sf_dir):
     e, sources, sinks, modules = _flow(spark, sf_dir)
-    return flow.fan_out(flow.simple_paths(e, sources, 4), sinks, modules, 2, 1)
+    return flow.reached_fan_out(flow.reached(e, sources), sinks, modules, 2, 1)
 
 
 @query()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lithoscope.functions import text as X
 from lithoscope.operators import facts, flow, graph, issues, metrics
+from lithoscope.plans import codebase
 
 
 def values(spark, exprs):
@@ -149,3 +150,19 @@ def test_metrics(spark):
     assert {r.point_id: r.symbol for r in metrics.innermost(points, spans, ["path"]).collect()} == {1: "inner", 2: "outer"}
     c = spark.createDataFrame([("c1", "x", "a", 5, None), ("c1", "x", "b", 1, 1), ("c2", "y", "a", 900, 0)], "commit string, author string, path string, added int, deleted int")
     assert {r.path: (r.commits, r.recent_weighted) for r in metrics.churn(c, 100).collect()} == {"a": (1, 5), "b": (1, 2)}
+
+
+def test_flow_beyond_the_hops(spark, monkeypatch):
+    chain = lambda s, n: [(f"{s}:{i}", f"{s}:{i + 1}") for i in range(n)]
+    rows = chain("six", 6) + chain("eight", 8) + chain("nine", 9) + chain("loop", 3) + [("loop:3", "loop:1")]
+    rows += [("wide:0", "six:1"), ("wide:0", "nine:1"), ("nine:2", "nine:1")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    outs, ins = {a for a, _ in rows}, {b for _, b in rows}
+    source = spark.createDataFrame([(x,) for x in sorted(outs - ins)], "node string")
+    sink = spark.createDataFrame([(x,) for x in sorted(ins - outs)], "node string")
+    modules = spark.createDataFrame([(x, x) for x in sorted(outs | ins)], "node string, module string")
+    assert {r.node for r in flow.truncated(e, source, 8, 1).collect()} == {"nine:0", "wide:0"}
+    monkeypatch.setattr(codebase, "_flow", lambda *_: (e, source, sink, modules))
+    assert {r.source: r.hops for r in codebase.flow_relays(spark, "").collect()} == {"six:0": 6, "eight:0": 8, "loop:0": 3}
+    assert {r.source for r in codebase.flow_truncated(spark, "").collect()} == {"nine:0", "wide:0"}
+    assert [tuple(r) for r in codebase.flow_fan_out(spark, "").collect()] == [("wide:0", 2, 2)]
