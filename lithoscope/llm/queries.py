@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
@@ -12,7 +12,10 @@ SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: groupings of problem 1 over (family, repo_id, day)
 GROUPINGS = {
     "family": ["family"], "repo": ["repo_id"], "day": ["day"], "family_repo": ["family", "repo_id"], "all": [],
+    "family_day": ["family", "day"], "repo_day": ["repo_id", "day"], "family_repo_day": ["family", "repo_id", "day"],
 }
+#: groupings that p1_bound_check leaves to p1_bound_check_day, as its SQL has the others only
+WITH_DAY = ["family_day", "repo_day", "family_repo_day"]
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +52,12 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(whole, _KEYS, SHARES)
 
 
-def p1_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bound_check(spark: SparkSession, sf_dir: str, wanted: Column) -> DataFrame:
     """Whether each returned value's true ranks lie within the stated error."""
-    found = p1_percentiles(spark, sf_dir)
+    found = p1_percentiles(spark, sf_dir).where(wanted)
     shares = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(s).alias("share"), F.col(k).alias("at")) for k, s in SHARES.items()])
     asked = found.select(*_KEYS, "n", "rank_error", F.explode(shares).alias("s")).select(*_KEYS, "n", "rank_error", "s.*")
-    values = _grouped(_measures(spark, sf_dir).where("value IS NOT NULL")).groupBy(*_KEYS, "value").agg(F.count("*").alias("c"))
+    values = _grouped(_measures(spark, sf_dir).where("value IS NOT NULL")).where(wanted).groupBy(*_KEYS, "value").agg(F.count("*").alias("c"))
     same = [asked[k].eqNullSafe(values[k]) for k in _KEYS]
     met = same[0]
     for s in same[1:]:
@@ -68,6 +71,15 @@ def p1_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("grouping", "metric", "name").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.bool_and(ok).alias("within"))
 
 
+def p1_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound_check(spark, sf_dir, ~F.col("grouping").isin(WITH_DAY))
+
+
+def p1_bound_check_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the groupings of a day with family, repository or both."""
+    return _bound_check(spark, sf_dir, F.col("grouping").isin(WITH_DAY))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
@@ -155,7 +167,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check,
+    "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check, "p1_bound_check_day": p1_bound_check_day,
     "p3_found": p3_found, "p3_parsed": p3_parsed, "p3_rates": p3_rates,
     "p4_found": p4_found, "p4_scores": p4_scores, "p4_validation": p4_validation,
     "p5_found": p5_found, "p5_shared": p5_shared,

@@ -1,8 +1,11 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lithoscope.llm import quantiles as Q
+from lithoscope.llm import queries
 
 SHARES = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
 
@@ -48,3 +51,12 @@ def test_hot_group(spark):
     df = spark.range(400_000).select((F.col("id") % 3 == 0).cast("string").alias("g"), (F.col("id") * 7919 % 400_000).alias("v"))
     for r in Q.percentiles(Q.summarise(df, ["g"], "v"), ["g"], SHARES).collect():
         assert abs(r.p50 / 400_000 - 0.5) < 0.005 and 0 < r.rank_error < 0.005
+
+
+def test_groupings_with_day(spark, monkeypatch):
+    rows = [(f, r, d, "loc", v) for f in ("a", None) for r in (1, 2) for d in ("x", "y") for v in (1, 2, 3)]
+    kinds = "family string, repo_id bigint, day string, metric string, value bigint"
+    monkeypatch.setattr(queries, "_measures", lambda *_: spark.createDataFrame(rows, kinds))
+    got = Counter(r.grouping for r in queries.p1_percentiles(spark, "").collect())
+    assert got == {"family": 2, "repo": 2, "day": 2, "family_repo": 4, "all": 1, "family_day": 4, "repo_day": 4, "family_repo_day": 8}
+    assert {(r.grouping, r.groups, r.within) for r in queries.p1_bound_check_day(spark, "").collect()} == {("family_day", 4, True), ("repo_day", 4, True), ("family_repo_day", 8, True)}
