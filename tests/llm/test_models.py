@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from lithoscope.llm import handwritten as H
@@ -6,14 +7,6 @@ from lithoscope.llm import mixing
 from lithoscope.llm import toxicity as X
 
 
-def test_notices():
-    m = H.Models(np.zeros(3 * H.DIM + 1), np.zeros(H.DIM + 1), *H.notice_models())
-    yes = ["// Code generated by zapgen v1.2.3. DO NOT EDIT.", "# This file was automatically generated by foogen (2.0); changes will be lost.", "/* Vendored from barlib at revision 0af31 */", "// bazlib v3.1 (c) the bazlib contributors"]
-    no = ["// Not generated: edit freely, zapgen never touches this file.", "# This table used to be generated by foogen; it is maintained by hand since 2019", "x = 'Code generated by foogen. DO NOT EDIT.'", "// reads one row", "// The vendored copy of foogen was dropped, this is our own rewrite."]
-    assert all(m.score_notice(f"x\n{s}\ny")[0] > 0 for s in yes)
-    assert all(m.score_notice(f"x\n{s}\ny")[0] <= 0 for s in no)
-
-
 def hand(i, rng):
     return "".join(f"def f{i}_{k}(a, b):\n    total = helper_{rng.integers(99)}(a, {k})\n    if total > b:\n        return total\n    return b\n\n" for k in range(8))
 
@@ -32,7 +25,7 @@ def test_classifiers_and_operator(spark):
     rows += [(400, 1, "third_party/lib/a.py", hand(1, rng)), (401, 1, "src\\vendors\\a.py", hand(2, rng)), (402, None, None, None), (403, None, None, "  "), (404, None, None, hand(3, rng))]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "file_id bigint, repo_id bigint, display_path string, source string, body string")
     models, figures = H.train(df)
-    assert figures["recall"] > 0.9 and figures["precision"] > 0.9
+    assert figures["made_recall"] > 0.9 and figures["made_precision"] > 0.9
     got = {r.file_id: r.reason for r in H.classify(df, models).collect()}
     assert all(got[i] is None for i in range(120)) and all(got[i] for i in range(200, 240)) and sum(got[i] is not None for i in range(300, 330)) >= 28
     assert got[400] == "copied" and [got[i] for i in (401, 402, 403, 404)] == [None] * 4
@@ -40,6 +33,35 @@ def test_classifiers_and_operator(spark):
     assert H.classify(empty, H.train(empty)[0]).count() == 0
 
 
+def test_notices_are_learnt_from_folders():
+    """What files in folders for copies say tells copies elsewhere; one line that
+    speaks of generators or owners condemns no file."""
+    rng = np.random.default_rng(4)
+    rows, says = [], ["Parse the header", "Return the sum of both", "TODO: drop this branch", "The cache is shared"]
+    for i in range(400):
+        rows.append((i % 11, f"src/mod{i % 7}/f{i}.py", f"# {says[i % 4]} of step {i}\n" + hand(i, rng)))
+    for i in range(60):
+        notice = f"# Taken over from lib{i % 5} release {i}.{i % 3}; ask its maintainers first\n" if i % 2 else ""
+        rows.append((i % 11, f"third_party/lib{i % 5}/f{i}.py", notice + f"# {says[i // 2 % 4]} of step {i}\n" + hand(i, rng)))
+    models, figures = H.fit(pd.DataFrame(rows, columns=["repo_id", "path", "source"]).sample(frac=1, random_state=1).reset_index(drop=True))
+    assert figures["copied_recall"] == 1.0
+    body = hand(7, rng)
+    assert models.score_copied("# Taken over from libnew release 7.1; ask its maintainers first\n" + body, "src/mod1/x.py") > 0
+    for line in ("Generated tokens are cached per user", "This module is generated lazily", "part of the public API; do not edit without review", "Parse the header of step 9"):
+        text = f"# {line}\n" + body
+        assert max(models.score_copied(text, "src/mod1/x.py"), models.score_made(text, "src/mod1/x.py")) <= 0, line
+
+
+def test_giveaways_are_masked():
+    text = "# Code generated by zap. DO NOT EDIT.\nx = 1\n# plain words\n"
+    assert H.comment_lines(text) == ["plain words"] and H.weak_label(text, "a.py") == 1
+    for line in ("@generated by zap", "<auto-generated />", "This file was automatically generated by zap", "GENERATED CODE - DO NOT MODIFY BY HAND"):
+        assert H.GIVEAWAY.search(line), line
+    assert not H.GIVEAWAY.search("Not generated: edit freely")
+    assert [x for x, _ in H.body_hashes(text, "a.py")] == [0, H.DIM, 2 * H.DIM]
+    assert all((a[1] == b[1]).all() for a, b in zip(H.body_hashes(text, "a.py"), H.body_hashes("x = 1\n", "b.py")))
+
+
 def test_svm_separates():
     rows = [H.Vector([(0, np.array([i % 7, 20 + i % 3]))]) for i in range(60)]
     y = np.array([1.0 if i % 7 < 3 else -1.0 for i in range(60)])
