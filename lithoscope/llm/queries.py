@@ -150,8 +150,8 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    crf = toxicity.train(docs, read_table(spark, sf_dir, "review_labels"))
-    return toxicity.score_documents(docs, crf, ["doc_id", "source"])
+    model = toxicity.train(docs, read_table(spark, sf_dir, "review_labels"))
+    return toxicity.score_documents(docs, model, ["doc_id", "source"])
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +166,11 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raters' labels against flags on a fifth of the labelled documents, held out of training."""
+    return toxicity.validate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels"))
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_bound_check": p1_bound_check, "p1_bound_check_day": p1_bound_check_day,
     "p3_found": p3_found, "p3_parsed": p3_parsed, "p3_rates": p3_rates,
@@ -174,7 +179,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
-    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p9_validation": p9_validation,
 }
 
 _P1_CHECK = """

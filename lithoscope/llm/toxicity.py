@@ -1,23 +1,38 @@
 """Abusive, hateful or sexual passages by a linear-chain CRF.
 
 Texts are cut into sentences and tokens; obfuscated spellings (look-alike
-letters, digits for letters, stretched or separated letters, masked letters)
-are read through a normal form. The CRF has two states, outside and inside a
-passage, with hashed features of the token and its neighbours, of token pairs
-and of transitions. Forward-backward gives each token's marginal; a document's
-score is its largest one. In sentences that reach ``THRESHOLD``, runs of tokens
-at or above ``REACH`` are the offending passages with their offsets.
-
-Training, at query time in one task: bundled labelled sentences, of which
-obfuscated copies are made, and at most ``TRAIN_DOCS`` labelled documents. Their
-labels are per document, so the tokens of a positive document are labelled by
-the model of the round before: its highest-scoring sentence is the passage.
+letters, digits for letters, stretched or separated letters) are read through a
+normal form, masked letters and slips through the words the training found in
+passages. The CRF has two states, outside and inside a passage, with hashed
+features of the token and its neighbours, of token pairs and of transitions.
+Forward-backward gives each token's marginal; a document's score is its largest
+one. In sentences that reach ``THRESHOLD``, runs of tokens at or above ``REACH``
+are the offending passages with their offsets.
+
+There are no bundled word lists or sentences: everything comes from the labelled
+documents. Raters judge documents, so their tokens are labelled in rounds. First
+words and pairs are weighed by how much more often they occur in positive
+documents than in all others; the sentence of a positive document that weighs
+most is its passage, from its first to its last heavy token. The CRF fitted to
+that labels the tokens anew, twice. Sentences of negative documents that the
+model takes for passages beyond doubt are raters' slips and left out, positive
+documents without such a sentence likewise. Without a positive document nothing
+is known to be abusive and every score is 0.
+
+Training, in one task, takes documents drawn by a hash of their id: at most
+about ``POSITIVE_DOCS`` and ``NEGATIVE_DOCS`` labelled ones and
+``BACKGROUND_DOCS`` without label, whose sentences stand for ordinary text with
+a small weight. One copy of each distinct sentence is used; each round takes
+``EASY_SENTENCES`` of the ordinary ones, drawn by hash, and all of the others
+that could be taken for passages (by their weight, then by the model).
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,69 +44,33 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, spread
 
-#: bounds of the labelled documents used for training and of those without label,
-#: whose sentences stand for ordinary text with a small weight
-TRAIN_DOCS, BACKGROUND_DOCS, BACKGROUND_WEIGHT = 3_000, 1_500, 0.15
-BITS = 18
+#: bounds of the training sample
+POSITIVE_DOCS, NEGATIVE_DOCS, BACKGROUND_DOCS = 1_500, 6_000, 4_000
+#: ordinary sentences of the sample that every round uses; of the others, those that the round before doubts
+EASY_SENTENCES = 6_000
+BACKGROUND_WEIGHT = 0.5
+ROUNDS = (30, 20, 20, 60)
+#: weight of ordinary sentences that the round before doubts
+HARD_WEIGHT = 4.0
+BITS = 17
 DIM = 1 << BITS
 OFFSETS = (-2, -1, 0, 1, 2)
-WIDTH = 14
+WIDTH = 8
 THRESHOLD = 0.5
 #: tokens of a sentence that holds such a marginal belong to its passage from here on
 REACH = 0.2
-#: words that occur more than once in the kept vocabulary of a worker
+#: most entries in the kept vocabulary of a worker
 MEMO = 200_000
+#: marginal beyond which a sentence of a negative document is a rater's slip
+SLIP = 0.97
+#: most words that masked spellings are read as
+WORDS = 1_000
 
 # Letters that look like Latin ones, and digits or signs for letters.
 LOOKALIKES = str.maketrans("аеорсхуіјѕһкмтвοαερικυν", "aeopcxyijshkmtboaepikuv")
 LEET = str.maketrans("013457@$!€", "oieastasie")
 INVISIBLE = re.compile("[­​-‏⁠⁦-⁩﻿‪-‮]")
 
-# Word lists.
-INSULTS = """idiot moron imbecile retard bastard asshole dumbass scumbag loser cretin jackass dimwit halfwit bitch whore slut cunt prick dickhead wanker twat douchebag
- vermin parasite parasites subhuman filth worthless pathetic brainless clown trash garbage pig pigs scum
- arschloch trottel vollidiot schwachkopf versager wichser hurensohn schlampe dummkopf missgeburt abschaum penner ungeziefer
- idiota imbécil imbecil estúpido estupido inútil inutil cabrón gilipollas pendejo puta zorra basura escoria subnormal
- connard connasse abruti imbécile crétin salope pute débile ordure minable raclure""".split()
-VULGAR = "fuck fucking fucked shit bullshit fick fresse gueule mierda merde jódete foutre maul klappe".split()
-SEXUAL = """naked nude nudes horny porn sex sexy lap legs boobs tits babe sweetie bed undress wear hard hot nackt nacktbilder geil sexbild heiß
- desnuda desnudo cama caliente porno nue seins lit sexe baiser coucher""".split()
-GROUPS = """women woman foreigners immigrants gay gays lesbians black jews muslims christians believers disabled people old refugees blacks
- frauen ausländer schwule juden muslime flüchtlinge behinderte mujeres extranjeros inmigrantes gays negros judíos musulmanes femmes étrangers immigrés juifs musulmans noirs""".split()
-VIOLENT = """kill hurt break murder die rape beat stab shoot burn regret fingers bones bridge existing umbringen töten schlagen brechen finden matar matarte golpear romper tuer frapper casser crever""".split()
-PERSONAL = "you your you're yours u ur yourself du dich dir dein deine deinen ihr euch tú te ti tu tus eres usted vous votre t'es toi ton ta tes".split()
-_CLASSES = {w: c for c, ws in (("v", VIOLENT), ("g", GROUPS), ("p", PERSONAL), ("s", SEXUAL), ("f", VULGAR), ("i", INSULTS)) for w in ws}
-
-# Bundled labelled sentences; {i} insult, {g} group, {x} thing, {n} name.
-ABUSIVE = """you are a {i}|you are such a {i} and everyone knows it|you're a complete {i}|what a pathetic {i} you are|shut up you {i}|shut the fuck up, you {i}|hey {i}, learn to read|listen, {i}, nobody asked you
-you worthless {i}, go away|only a {i} would write something like this|fuck you and your {x}|fuck off, {i}|the author of this is a {i}, plain and simple|whoever wrote {x} is a {i}|typical of this {i} to break {x} again|go to hell, you {i}
-you stupid {i}|nobody likes you, {i}|stop wasting everybody's time, {i}|you add nothing but waste of air to any discussion|you are too dumb to understand {x}|i have seen smarter things than you in the toilet|some people were never meant to think and you are the proof|you are a waste of oxygen|your parents must be ashamed of you
-everyone would be happier if you stopped existing|do us all a favour and jump off a roof|kill yourself|go die in a fire|the world is better without you|please end your life
-i will find you and hurt you|i know where you live and you will regret this|touch {x} again and i will break your arms|i will kill you|someone should beat you until you understand {x}|watch your back, i am coming for you|i am going to smash your face
-{g} are vermin|{g} are subhuman|{g} are too stupid to use {x}|{g} should not be allowed to work on {x}|send the {g} back to where they came from|we do not want {g} on this team|no more {g}, they ruin everything they touch|i refuse to work with {g}
-this is what happens when you let {g} write code, they are all stupid|{g} belong in the kitchen|all {g} are thieves|{g} like you should not touch {x}|get rid of the {g}
-nice legs, i bet you are great in bed|i keep imagining you naked|send me nudes and i will approve {x}|sit on my lap, babe|tell me what you are wearing, i am so hard|hot horny singles want to fuck tonight, free porn at this link|i want to have sex with you|show me your tits
-your body drives me wild, come to my room tonight|explicit videos and free sex chat in my profile
-du bist ein {i}|halt die fresse, du {i}|halt dein maul, {i}|was für ein {i} du bist|so ein {i} wie du versteht {x} nie|du bist zu dumm für {x}|{g} haben hier nichts verloren|{g} sind ungeziefer|ich finde heraus, wo du wohnst, und breche dir die finger|ich bringe dich um
-schick mir nacktbilder von dir|ich stelle mir dich nackt vor|spring doch von der brücke|verpiss dich, du {i}|niemand würde dich vermissen|geh sterben
-eres un {i}|cállate ya, {i}|vete a la mierda, {i}|eres un {i} y todos lo saben|los {g} como tú no deberían tocar {x}|{g} fuera de este proyecto|te voy a encontrar y te voy a romper los dedos|te voy a matar|mándame fotos tuyas desnuda|te imagino desnuda en mi cama|nadie te echaría de menos
-tu es un {i}|ferme ta gueule, {i}|espèce d'{i}|tu es vraiment trop con pour {x}|va te faire foutre, {i}|les {g} n'ont rien à faire ici|les {g} comme toi ne devraient pas toucher {x}|je vais te retrouver et te casser les doigts|je vais te tuer
-envoie-moi des photos de toi nue|je t'imagine nue dans mon lit|personne ne te regretterait|va crever"""
-BENIGN = """kill the parent process and reap its children|the master aborts when a slave node dies|this damn build is broken again, what a shitty day|i hate this stupid cache, it is garbage|holy crap, this is twice as fast|the garbage collector kills {x}
-sorry, that was my stupid mistake, i am an idiot|i felt like a moron when i saw {x}|my own dumb bug, i was blind|the word filter must flag 'idiot' and 'asshole' but not 'assembly'|the code of conduct bans insults such as 'moron' and sexual remarks
-the report lists hateful posts and sexually explicit ones, all were removed|somebody wrote "you are an idiot" in the thread and was banned|the test data holds slurs like 'retard' for the classifier|abort the child and execute the daemon|a dumb pointer and a naked pointer
-rename the blacklist, the term puts people off|the word cripple in the flag names should go|women in our study liked {x}|gay users asked for {x}|old people on the team remember {x}|foreigners can register with a passport number|the sex column holds f or m
-strip the symbols before you execute it|kill -9 hurts, let the daemon die in peace|we hate global state and this hack is ugly as hell|bastard operator from hell jokes aside, {x} is fine|the hash is salted so that brute force dies|you should split {x} into two functions
-could you check whether {x} still fails|your patch breaks {x}, please rebase|can you add a test for {x}|thanks, you were right about {x}|i think you are wrong about {x}, see the log|you are welcome|please do not touch {x} before the release|this function is too long and ugly
-your tests are great|i bet you need {x} too|nobody asked for {x} in this release|send me the log and i will approve the patch|i will find out why {x} fails|you will regret using global state|the legs of the triangle are equal|put the server to bed for tonight|hot path, hot cache and hard limits
-den kindprozess erst töten, dann aufräumen|das war mein dummer fehler, entschuldigung|der verdammte build ist schon wieder rot|bitte prüfen, ob {x} noch gebraucht wird|so ein blöder fehler im cache|du hast recht, danke|die ausländische adresse fehlt im formular|frauen und männer nutzen {x} gleich oft
-hay que matar el proceso hijo|fue un error tonto mío, perdón|esta maldita caché falla otra vez|tienes razón, gracias por revisar {x}|los usuarios extranjeros piden {x}|qué bug tan estúpido
-il faut tuer le processus fils|c'était une erreur idiote de ma part, désolé|ce fichu build est encore cassé|tu as raison, merci|les utilisateurs étrangers demandent {x}|quel bug idiot dans le cache"""
-_GROUP_PHRASES = ["women", "foreigners", "immigrants", "gay people", "black people", "jews", "muslims", "disabled people", "old people", "people from the north", "refugees", "believers of that sect", "the islanders"]
-_THINGS = ["CODE", "the build", "this module", "the index", "PATH", "the patch", "the report", "the parser", "your change"]
-_LEADS = ["", "", "honestly,", "look,", "NAME", "wow,", "for the record,", "re #12:", "sorry but", "...", "NAME:"]
-_TAILS = ["", "", ".", "!!!", ", full stop.", " :)", ", period.", "...", " lol", ", and i mean it.", ", again.", ", as always."]
-
 
 def clean(text: str) -> str:
     """Without invisible characters and with canonical letters, same tokens."""
@@ -110,38 +89,39 @@ def normal_form(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", t)
 
 
-_PLAIN = {re.sub(r"(.)\1+", r"\1", w): w for w in _CLASSES}
-_BY_LENGTH: dict[int, list[str]] = {}
-for _w in sorted(_CLASSES):
-    if len(_w) >= 4:
-        _BY_LENGTH.setdefault(len(_w), []).append(_w)
-
-
-def word_class(token: str, normal: str) -> str:
-    """Class of a listed word that the token spells, exactly, masked or with a slip."""
-    low = token.lower()
-    if low in _CLASSES:
-        return _CLASSES[low]
-    if normal in _PLAIN:
-        return _CLASSES[_PLAIN[normal]]
-    if re.search(r"\w[*#%$@&_-]+\w", low) and low[0].isalpha() and "/" not in low and "_" not in low:
-        pattern = re.compile("".join("." if c in "*#%$@&-" else re.escape(c) for c in low) + r"\Z")
-        loose = re.compile(re.sub(r"(?:\\?[*#%$@&-])+", lambda m: ".+", re.escape(low)) + r"\Z")
-        for w in _CLASSES:
-            if len(w) >= 4 and (pattern.match(w) or loose.match(w)):
-                return _CLASSES[w]
-    if len(normal) >= 6:  # one letter left out, doubled, swapped or replaced
-        for n in (len(normal) - 1, len(normal), len(normal) + 1):
-            for w in _SLIPS.get(n, ()):
-                if w[0] == normal[0] and _one_slip(w, normal):
-                    return _CLASSES[_PLAIN[w]]
-    return ""
-
-
-_SLIPS: dict[int, list[str]] = {}
-for _w in sorted(_PLAIN):
-    if len(_w) >= 6 and _CLASSES[_PLAIN[_w]] in "isf":
-        _SLIPS.setdefault(len(_w), []).append(_w)
+class Spellings:
+    """Words that masked or misspelt tokens are read as."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = sorted(set(words))
+        self.known = set(self.words)
+        self.slips: dict[tuple[str, int], list[str]] = {}
+        for w in self.words:
+            if len(w) >= 6:
+                self.slips.setdefault((w[0], len(w)), []).append(w)
+
+    def read(self, token: str, normal: str) -> str:
+        """The word a token stands for, or its normal form."""
+        if normal in self.known or not self.words:
+            return normal
+        low = token.lower()
+        if _MASKED.search(low) and low[0].isalpha() and "/" not in low and "_" not in low:
+            letters = "".join(re.escape(c) if c not in "*#%$@&-" else "\0" for c in low)
+            exact = re.compile(letters.replace("\0", ".") + r"\Z")
+            loose = re.compile(re.sub("\0+", lambda m: ".+", letters) + r"\Z")
+            for pattern in (exact, loose):
+                for w in self.words:
+                    if len(w) >= 3 and pattern.match(w):
+                        return w
+        if len(normal) >= 6:  # one letter left out, doubled, swapped or replaced
+            for n in (len(normal) - 1, len(normal), len(normal) + 1):
+                for w in self.slips.get((normal[0], n), ()):
+                    if _one_slip(w, normal):
+                        return w
+        return normal
+
+
+_MASKED = re.compile(r"\w[*#%$@&-]+\w")
 
 
 def _one_slip(a: str, b: str) -> bool:
@@ -153,7 +133,7 @@ def _one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-_TOKEN = re.compile(r"`[^`\n]*`|<\w+>|@\w+|(?:[\w.-]+/)+[\w.-]+|#?\d[\d.,]*|[^\W\d_](?:[\w’'*#%@$!.&-]*[\w*])?|[^\s\w]|_+")
+_TOKEN = re.compile(r"`[^`\n]*`|<\w+>|@\w+|(?:[\w.-]++/)+[\w.-]++|#?\d[\d.,]*+|(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)|[^\W\d_](?:[\w’'*#%@$!.&-]*[\w*])?|[^\s\w]|_+")
 _BREAK = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\s])")
 
 
@@ -177,36 +157,47 @@ def hashed(s: str) -> int:
     return xxhash.xxh64_intdigest(s) >> (64 - BITS)
 
 
-def features(token: str) -> tuple[np.ndarray, int]:
-    """Hashed features of one vocabulary entry (padded with -1) and its hash."""
+def features(token: str, spellings: Spellings) -> tuple[np.ndarray, int, str]:
+    """Hashed features of one vocabulary entry (padded with -1), its hash and its word."""
     if token in ("CODE", "NAME", "NUM", "PATH"):
-        names, normal, cls = [f"k:{token}"], token, ""
+        names, word = [f"k:{token}"], token
     else:
         normal = normal_form(token)
-        cls = word_class(token, normal)
-        names = [f"w:{normal}", "b"]
-        if cls:
-            names += [f"c:{cls}", f"c:{cls}"]
+        word = spellings.read(token, normal)
+        names = [f"w:{word}", "b"]
         if len(token) > 3 and token.isupper():
             names.append("u")
-        if normal.isalpha() or any(c in token for c in "*#%$@"):
-            padded = f"^{normal}$"
+        if word.isalpha():
+            padded = f"^{word}$"
             names += [f"g:{padded[:5]}", f"g:{padded[-5:]}", f"p:{padded[:4]}"]
-        if token != normal and any(c in token for c in "*#%$@") and any(c.isalpha() for c in token):
+        if any(c in token for c in "*#%$@") and any(c.isalpha() for c in token):
             names.append("m")
     idx = np.full(WIDTH, -1, np.int64)
     for i, n in enumerate(names[:WIDTH]):
         idx[i] = hashed(n)
-    return idx, hashed(f"t:{cls}" if cls in ("i", "g", "s", "f", "v") and len(normal) > 3 else f"t:{normal}")
+    return idx, hashed(f"t:{word}"), word
+
+
+class _Ids(dict):
+    """Token -> entry; a new token is added to its vocabulary."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        super().__init__({"": 0})
+        self.vocab = vocab
+
+    def __missing__(self, token: str) -> int:
+        return self.vocab.id(token)
 
 
 class Vocabulary:
-    """Tokens met so far: feature rows, per-token hashes."""
+    """Tokens met so far: feature rows, hashes and words."""
 
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {"": 0}
+    def __init__(self, spellings: Spellings | None = None) -> None:
+        self.spellings = spellings or Spellings([])
+        self.ids = _Ids(self)
         self.rows: list[np.ndarray] = [np.full(WIDTH, -1, np.int64)]
         self.hashes: list[int] = [hashed("t:")]
+        self.words: list[str] = [""]
 
     def id(self, token: str) -> int:
         got = self.ids.get(token)
@@ -217,10 +208,11 @@ class Vocabulary:
                 if len(token) > 24:  # code and paths rarely come again
                     return got
             else:
-                row, h = features(token)
+                row, h, word = features(token, self.spellings)
                 got = len(self.rows)
                 self.rows.append(row)
                 self.hashes.append(h)
+                self.words.append(word)
             self.ids[token] = got
         return got
 
@@ -350,212 +342,270 @@ class CRF:
             self.start -= 0.2 * ds / np.sqrt(gs)
 
 
-def _obfuscate(word: str, rng: np.random.Generator) -> str:
-    i = int(rng.integers(1, max(2, len(word) - 1)))
-    how = int(rng.integers(7))
-    if how == 0:
-        return word[:i] + word[i] * 4 + word[i + 1 :] if i < len(word) else word
-    if how == 1:
-        return "-".join(word)
-    if how == 2:
-        return word[0] + "*" * (len(word) - 2) + word[-1]
-    if how == 3:
-        return word[:i] + "#%*@"[int(rng.integers(4))] + word[i + 1 :]
-    if how == 4:
-        return word.translate(str.maketrans("oieas", "013@$"))
-    if how == 5:
-        return word[:i] + word[i:i+1] + word[i:]
-    return word.upper()
-
-
-def bundled(seed: int = 3) -> tuple[list[list[str]], list[np.ndarray]]:
-    """Token lists and labels made from the bundled sentences."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    bad = [x for line in ABUSIVE.splitlines() for x in line.split("|")]
-    good = [x for line in BENIGN.splitlines() for x in line.split("|")]
-
-    def fill(s: str) -> str:
-        for mark, xs in (("{i}", INSULTS[:-12]), ("{g}", _GROUP_PHRASES), ("{x}", _THINGS)):
-            while mark in s:
-                s = s.replace(mark, pick(xs), 1)
-        return s
-
-    seqs, labels = [], []
-    for s in bad:
-        times = 10 if "{" in s else 5
-        for k in range(times):
-            words = _TOKEN.findall(fill(s))
-            if k % 2:
-                words = [_obfuscate(w, rng) if len(w) > 3 and w.lower() in _CLASSES and rng.random() < 0.6 else w for w in words]
-            if k % 5 == 4:
-                words = [w.upper() for w in words]
-            before = _TOKEN.findall(pick(_LEADS))
-            after = _TOKEN.findall(pick(_TAILS)) + (_TOKEN.findall(fill(pick(good))) if k % 4 == 3 else [])
-            seqs.append(before + words + after)
-            labels.append(np.r_[np.zeros(len(before)), np.ones(len(words)), np.zeros(len(after))])
-    for s in good:
-        for _ in range(12):
-            words = _TOKEN.findall(fill(s))
-            words = _TOKEN.findall(pick(_LEADS)) + words + _TOKEN.findall(pick(_TAILS))
-            seqs.append(words)
-            labels.append(np.zeros(len(words)))
-    return seqs, labels
-
-
-def train_model(docs: list[tuple[str, int]]) -> CRF:
-    """A CRF from the bundled sentences and (text, label) documents; label -1
+def hash_ids(ids: tuple[int, ...]) -> int:
+    return xxhash.xxh64_intdigest(np.array(ids, np.int64).tobytes())
+
+
+def _weights(positive: list[list[list[str]]], others: list[list[list[str]]]) -> dict[object, float]:
+    """How much more often words and neighbouring pairs occur in positive documents."""
+    def seen(doc: list[list[str]]) -> set:
+        return {w for s in doc for w in s} | {p for s in doc for p in zip(s, s[1:])}
+
+    a, b = Counter(), Counter()
+    for doc in positive:
+        a.update(seen(doc))
+    for doc in others:
+        b.update(seen(doc))
+    base = math.log((len(others) + 1) / (len(positive) + 1))
+    return {f: v for f, n in a.items() if (v := math.log((n + 0.1) / (b[f] + 0.5)) + base) > 0}
+
+
+def _words_only(sentence: list[str], inside: np.ndarray) -> np.ndarray:
+    """Labels from the first to the last inner token that holds a letter: signs around a passage are none of it."""
+    lab = np.zeros(len(sentence))
+    worded = [i for i in inside if any(c.isalpha() for c in sentence[i])]
+    if worded:
+        lab[worded[0] : worded[-1] + 1] = 1.0
+    return lab
+
+
+def _first_labels(doc: list[list[str]], weights: dict[object, float]) -> tuple[int, np.ndarray, float]:
+    """The heaviest sentence, its labels and its weight: the mean of its four heaviest tokens."""
+    best = (0, np.zeros(len(doc[0])), 0.0)
+    for k, s in enumerate(doc):
+        pairs = [weights.get(p, 0.0) for p in zip(s, s[1:])]
+        own = np.array([weights.get(w, 0.0) for w in s])
+        both = np.maximum(own, np.maximum([0.0, *pairs], [*pairs, 0.0]))
+        value = float(np.sort(both)[-4:].sum() / 4)
+        if value > best[2]:
+            heavy = np.flatnonzero(both >= 0.5 * both.max())
+            best = (k, _words_only(s, heavy), value)
+    return best
+
+
+def train_model(docs: list[tuple[str, int]]) -> tuple[CRF, list[str]]:
+    """A CRF and the words of passages from (text, label) documents; label -1
     marks documents without one."""
-    vocab = Vocabulary()
-    raw, marks = bundled()
-    seqs = [[vocab.id(w) for w in s] for s in raw]
+    cut = [([_TOKEN.findall(s) for _, s in sentences(clean(t))], y) for t, y in docs if t]
+    cut = [([s for s in ss if s], y) for ss, y in cut]
+    cut = [(ss, y) for ss, y in cut if ss]
+    plain = Vocabulary()
+    as_words = lambda ss: [[plain.words[plain.id(w)] for w in s] for s in ss]
+    first = [as_words(ss) for ss, y in cut if y == 1]
+    if not first:
+        crf = CRF()
+        crf.start = np.array([0.0, -50.0])
+        crf.trans = np.array([[0.0, -50.0], [0.0, 0.0]])
+        return crf, []
+    weights = _weights(first, [as_words(ss) for ss, y in cut if y != 1])
+    chosen = [_first_labels(ss, weights) for ss in first]
+    middle = float(np.median([v for *_, v in chosen]))
+    # words of passages, for masked spellings
+    words = Counter(w for ss, (k, lab, v) in zip(first, chosen) if v >= 0.5 * middle for w in {w for w, y in zip(ss[k], lab) if y and w.isalpha() and len(w) >= 3 and weights.get(w, 0.0) > 1.5})
+    spell = [w for w, n in words.most_common(WORDS) if n >= 2]
+    vocab = Vocabulary(Spellings(spell))
+    ids = lambda ss: [[vocab.id(w) for w in s] for s in ss]
+    positive = [ids(ss) for ss, y in cut if y == 1]
+    mass: dict[tuple, float] = {}
+    heavy: dict[tuple, float] = {}
+    for ss, y in cut:  # one copy of each ordinary sentence
+        if y != 1:
+            for s, ws in zip(ids(ss), as_words(ss)):
+                key = tuple(s)
+                mass[key] = max(mass.get(key, 0.0), 1.0 if y == 0 else BACKGROUND_WEIGHT)
+                heavy[key] = _first_labels([ws], weights)[2]
+    ordinary = [list(k) for k in mass]
+    weight = list(mass.values())
+    rank = np.argsort([hash_ids(k) for k in mass], kind="stable")
+    easy = np.zeros(len(ordinary), bool)
+    easy[rank[:EASY_SENTENCES]] = True
+    doubtful = np.array(list(heavy.values())) >= 0.3 * middle
     crf = CRF()
-    clean_docs = [([[vocab.id(w) for w in _TOKEN.findall(s)] for _, s in sentences(clean(t))], y) for t, y in docs if t]
-    clean_docs = [([s for s in ss if s], y) for ss, y in clean_docs]
-    negative = [(s, 1.0) for ss, y in clean_docs if y == 0 for s in ss]
-    negative += [(s, BACKGROUND_WEIGHT) for ss, y in clean_docs if y < 0 for s in ss]
-    positive = [ss for ss, y in clean_docs if y == 1 and ss]
-    seen: set[tuple] = set()
-    distinct, mass = [], []
-    for s, m in negative:  # one copy of each sentence
-        if tuple(s) not in seen:
-            seen.add(tuple(s))
-            distinct.append(s)
-            mass.append(m)
-    for step in range(3):
-        extra, lab, wt = [], [], []
-        if step:
-            scores = crf.token_scores(np.array(vocab.rows))
-            hashes = np.array(vocab.hashes, np.int64)
-            flat = [s for ss in positive for s in ss] + distinct
-            if flat:
-                b = Batch(flat, hashes)
-                p, _ = crf.marginals(b, crf.emissions(b, scores))
-                top = np.maximum.reduceat(p, b.starts)
-                at = 0
-                for ss in positive:
-                    own = top[at : at + len(ss)]
-                    best = int(own.argmax())
-                    if own[best] >= 0.15:
-                        for k, s in enumerate(ss):
-                            if k == best or own[k] < 0.15:
-                                inside = k == best
-                                m = p[b.starts[at + k] : b.starts[at + k] + len(s)]
-                                # the passage reaches as far as the model sees it
-                                extra.append(s)
-                                lab.append((m >= 0.5 * m.max()).astype(float) if inside else np.zeros(len(s)))
-                                wt.append(1.5 if inside else 0.5)
-                    at += len(ss)
-                # a sentence of a negative document that looks abusive beyond
-                # doubt is a rater's slip and left out
-                for k, s in enumerate(distinct):
-                    if top[at + k] < (0.97 if mass[k] == 1.0 else 0.2):
-                        extra.append(s)
-                        lab.append(np.zeros(len(s)))
-                        wt.append(mass[k])
+    for step, rounds in enumerate(ROUNDS):
+        seqs, labels, wt = [], [], []
+        if step == 0:
+            for ss, (k, lab, value) in zip(positive, chosen):
+                if value >= 0.5 * middle:
+                    seqs.append(ss[k])
+                    labels.append(lab)
+                    wt.append(1.0)
+            for k in np.flatnonzero(easy | doubtful):
+                seqs.append(ordinary[k])
+                labels.append(np.zeros(len(ordinary[k])))
+                wt.append(weight[k])
         else:
-            # at first no more than a prior against what is ordinary
-            extra, lab, wt = distinct, [np.zeros(len(s)) for s in distinct], [m if m == 1.0 else m / 3 for m in mass]
+            flat = [s for ss in positive for s in ss] + ordinary
+            b = Batch(flat, np.array(vocab.hashes, np.int64))
+            p, _ = crf.marginals(b, crf.emissions(b, crf.token_scores(np.array(vocab.rows))))
+            top = np.maximum.reduceat(p, b.starts)
+            at = 0
+            for ss in positive:
+                own = top[at : at + len(ss)]
+                best = int(own.argmax())
+                if own[best] >= (0.15, 0.3, 0.5)[step - 1]:
+                    for k, s in enumerate(ss):
+                        m = p[b.starts[at + k] : b.starts[at + k] + len(s)]
+                        if k == best or own[k] >= 0.9:
+                            seqs.append(s)
+                            labels.append(_words_only([vocab.words[i] for i in s], np.flatnonzero(m >= 0.5 * m.max())))
+                            wt.append(1.5)
+                        elif own[k] < 0.15:
+                            seqs.append(s)
+                            labels.append(np.zeros(len(s)))
+                            wt.append(0.5)
+                at += len(ss)
+            for k, s in enumerate(ordinary):
+                if (easy[k] or top[at + k] > 0.01) and top[at + k] < (SLIP if weight[k] == 1.0 else 0.9):
+                    seqs.append(s)
+                    labels.append(np.zeros(len(s)))
+                    wt.append(weight[k] * (HARD_WEIGHT if top[at + k] > 0.05 else 1.0))
         crf = CRF()
-        crf.fit(seqs + extra, marks + lab, np.array([1.0] * len(seqs) + wt), vocab, rounds=(60, 60, 120)[step])
-    return crf
+        crf.fit(seqs, labels, np.array(wt), vocab, rounds=rounds)
+    return crf, spell
 
 
 class Scorer:
     """Scores texts with a trained model; token scores are remembered."""
 
-    def __init__(self, crf: CRF) -> None:
-        self.crf = crf
+    def __init__(self, crf: CRF, words: list[str]) -> None:
+        self.crf, self.spellings = crf, Spellings(words)
         self.reset()
 
     def reset(self) -> None:
-        self.vocab = Vocabulary()
+        self.vocab = Vocabulary(self.spellings)
         self.scores = self.crf.token_scores(np.array(self.vocab.rows))
+        self.hashes = np.array(self.vocab.hashes, np.int64)
+
+    def marginals(self, seqs: list[list[int]]) -> tuple[np.ndarray, Batch]:
+        fresh = len(self.vocab.rows) - len(self.scores)
+        if fresh:
+            self.scores = np.concatenate([self.scores, self.crf.token_scores(np.array(self.vocab.rows[-fresh:]))])
+            self.hashes = np.array(self.vocab.hashes, np.int64)
+        b = Batch(seqs, self.hashes)
+        return self.crf.marginals(b, self.crf.emissions(b, self.scores))[0], b
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
-        """(score, passages) of each text; null and blank ones have score 0."""
+        """(score, passages) of each text; null and blank ones have score 0.
+
+        Sentences with the same vocabulary entries are scored once a batch, and
+        offsets are looked up in flagged texts alone.
+        """
         if len(self.vocab.ids) > MEMO:
             self.reset()
-        seqs, owner, spans = [], [], []
-        for d, t in enumerate(texts):
-            if not t:
-                continue
-            # offsets refer to the text as given
-            keep = None
-            body = t
-            if INVISIBLE.search(t):
-                keep = [i for i, c in enumerate(t) if not INVISIBLE.match(c)]
+        entry = self.vocab.ids.__getitem__
+        place: dict[tuple, int] = {}
+        owner: list[list[int]] = []
+        for t in texts:
+            mine = []
+            if t:
                 body = clean(t)
-            for at, s in sentences(body):
-                found = [(m.start() + at, m.end() + at, m.group()) for m in _TOKEN.finditer(s)]
-                if found:
-                    seqs.append([self.vocab.id(w) for *_, w in found])
-                    owner.append(d)
-                    spans.append([(keep[a], keep[b - 1] + 1) if keep else (a, b) for a, b, _ in found])
-        out: list[tuple[float, list[dict]]] = [(0.0, []) for _ in texts]
-        if not seqs:
-            return out
-        fresh = len(self.vocab.rows) - len(self.scores)
-        if fresh:
-            self.scores = np.concatenate([self.scores, self.crf.token_scores(np.array(self.vocab.rows[-fresh:]))])
-        b = Batch(seqs, np.array(self.vocab.hashes, np.int64))
-        p, _ = self.crf.marginals(b, self.crf.emissions(b, self.scores))
+                at = 0
+                for m in [*_BREAK.finditer(body), None]:
+                    found = _TOKEN.findall(body, at, m.start() if m else len(body))
+                    at = m.end() if m else at
+                    if found:
+                        key = tuple(map(entry, found))
+                        mine.append(place.setdefault(key, len(place)))
+            owner.append(mine)
+        if not place:
+            return [(0.0, []) for _ in texts]
+        p, b = self.marginals([list(k) for k in place])
         top = np.maximum.reduceat(p, b.starts)
-        for k, d in enumerate(owner):
-            value, passages = out[d]
-            if top[k] >= THRESHOLD:
-                m = p[b.starts[k] : b.starts[k] + b.lengths[k]] >= REACH
-                inside = np.flatnonzero(m)
-                for a, z in zip(inside[:-1], inside[1:]):
-                    if z - a <= 3:  # one passage across a gap of two tokens
-                        m[a:z] = True
-                edges = np.flatnonzero(np.diff(np.r_[0, m.astype(int), 0]))
-                for first, last in zip(edges[::2], edges[1::2]):
-                    passages.append({"begin": int(spans[k][first][0]), "end": int(spans[k][last - 1][1])})
-            out[d] = (max(value, float(top[k])), passages)
+        out = []
+        for t, mine in zip(texts, owner):
+            value = float(top[mine].max()) if mine else 0.0
+            out.append((value, self.passages(t, mine, top, p, b) if value >= THRESHOLD else []))
         return out
 
+    def passages(self, text: str, mine: list[int], top: np.ndarray, p: np.ndarray, b: Batch) -> list[dict]:
+        """Offsets in the text as given."""
+        keep = [i for i, c in enumerate(text) if not INVISIBLE.match(c)] if INVISIBLE.search(text) else None
+        found, k = [], 0
+        for at, s in sentences(clean(text)):
+            spans = [(m.start() + at, m.end() + at) for m in _TOKEN.finditer(s)]
+            if not spans:
+                continue
+            n = mine[k]
+            k += 1
+            if top[n] < THRESHOLD:
+                continue
+            inside = p[b.starts[n] : b.starts[n] + b.lengths[n]] >= REACH
+            places = np.flatnonzero(inside)
+            for x, y in zip(places[:-1], places[1:]):
+                if y - x <= 3:  # one passage across a gap of two tokens
+                    inside[x:y] = True
+            edges = np.flatnonzero(np.diff(np.r_[0, inside.astype(int), 0]))
+            for first, last in zip(edges[::2], edges[1::2]):
+                begin, end = spans[first][0], spans[last - 1][1]
+                found.append({"begin": keep[begin] if keep else begin, "end": keep[end - 1] + 1 if keep else end})
+        return found
+
 
 def document_labels(labels: DataFrame) -> DataFrame:
     """doc_id and label (1, 0) of documents whose raters are clear enough.
 
-    Positive: most raters say so, and one names a kind of abuse (category other
-    than 'other') or two agree. Negative: nobody says so. Null votes don't count.
+    Positive: at least half say so, and one names a kind of abuse (a category
+    other than 'other'). Negative: nobody says so. Null votes don't count.
     """
     votes = labels.where(F.col("abusive").isNotNull()).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum("abusive").alias("a"),
         F.max(((F.col("abusive") == 1) & F.col("category").isNotNull() & (F.col("category") != "other")).cast("int")).alias("named"),
     )
-    label = F.when((F.col("a") * 2 >= F.col("n")) & ((F.col("named") == 1) | (F.col("a") >= 2)), 1).when(F.col("a") == 0, 0)
+    label = F.when((F.col("a") * 2 >= F.col("n")) & (F.col("named") == 1), 1).when(F.col("a") == 0, 0)
     return votes.select("doc_id", label.alias("label")).where("label IS NOT NULL")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CRF:
-    """Fit on about TRAIN_DOCS labelled documents at most, in one task."""
-    known = document_labels(labels)
-    share = min(1.0, TRAIN_DOCS / max(known.count(), 1))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    part = min(1.0, BACKGROUND_DOCS / max(texts.select("doc_id").count(), 1))
-    rest = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = texts.join(drawn, "doc_id").unionByName(
-        rest.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    )
+def _share(bound: int, n: int) -> int:
+    return int(min(1.0, bound / max(n, 1)) * (1 << 20))
+
+
+def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, text, label`` of the drawn documents; -1 for no label."""
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    drawn = known.where(draw < F.when(F.col("label") == 1, _share(POSITIVE_DOCS, sizes.get(1, 0))).otherwise(_share(NEGATIVE_DOCS, sizes.get(0, 0))))
+    texts = docs.select("doc_id", "text")
+    rest = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < _share(BACKGROUND_DOCS, docs.count()))  # counted from file footers
+    rows = texts.join(drawn, "doc_id").unionByName(rest.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1)))
+    return rows.where(F.col("text").isNotNull())
+
+
+def fit(rows: DataFrame) -> tuple[CRF, list[str]]:
+    """The model of training rows, fitted in one task."""
+    ship_package(rows.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
-        data = pd.concat(held).sort_values("doc_id", kind="stable") if held else pd.DataFrame({"text": [], "label": []})
-        crf = train_model(list(zip(data["text"].tolist(), data["label"].astype(int).tolist())))
-        yield pd.DataFrame({"w": [crf.w.astype(np.float32).tobytes()], "trans": [crf.trans.ravel().tolist()], "start": [crf.start.tolist()]})
+        if held:
+            data = pd.concat(held).sort_values(["doc_id", "text"], kind="stable")
+            crf, words = train_model(list(zip(data["text"].tolist(), data["label"].astype(int).tolist())))
+            yield pd.DataFrame({"w": [crf.w.astype(np.float32).tobytes()], "trans": [crf.trans.ravel().tolist()], "start": [crf.start.tolist()], "words": [words]})
 
-    got = rows.repartition(1).mapInPandas(run, "w binary, trans array<double>, start array<double>").collect()  # 6 MB, fixed
+    got = rows.repartition(1).mapInPandas(run, "w binary, trans array<double>, start array<double>, words array<string>").collect()  # 3 MB, fixed
     if not got:
         return train_model([])
     r = got[0]
-    return CRF(np.frombuffer(r["w"], np.float32).reshape(len(OFFSETS) + 1, DIM), np.array(r["trans"]).reshape(2, 2), np.array(r["start"]))
+    return CRF(np.frombuffer(r["w"], np.float32).reshape(len(OFFSETS) + 1, DIM), np.array(r["trans"]).reshape(2, 2), np.array(r["start"])), list(r["words"])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[CRF, list[str]]:
+    """Fit on the bounded sample of documents."""
+    return fit(training_rows(docs, document_labels(labels)))
+
+
+def validate(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Figures of a model that never saw a fifth of the labelled documents, on those.
+
+    ``label, documents, flagged``; the raters' labels are the measure, slips included.
+    """
+    known = document_labels(labels)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0
+    model = fit(training_rows(docs.join(known.where(held), "doc_id", "left_anti"), known.where(~held)))
+    scored = score_documents(docs.join(known.where(held), "doc_id"), model, ["doc_id", "label"])
+    return scored.groupBy("label").agg(F.count("*").alias("documents"), F.sum((F.col("score") >= THRESHOLD).cast("bigint")).alias("flagged"))
 
 
-def score_documents(docs: DataFrame, crf: CRF, keep: list[str]) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple[CRF, list[str]], keep: list[str]) -> DataFrame:
     """``keep`` columns, ``score`` in 0..1 and ``passages`` (begin, end offsets).
 
     Offsets count code points of the text as given. Null, empty and blank texts
@@ -563,10 +613,12 @@ def score_documents(docs: DataFrame, crf: CRF, keep: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     ship_package(spark)
-    sent = spark.sparkContext.broadcast((crf.w, crf.trans, crf.start))  # 6 MB, fixed by BITS
+    crf, words = model
+    sent = spark.sparkContext.broadcast((crf.w, crf.trans, crf.start, words))  # 3 MB, fixed by BITS and WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(CRF(*sent.value))
+        *parts, listed = sent.value
+        scorer = Scorer(CRF(*parts), listed)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -92,54 +92,69 @@ def test_crf_marginals_against_enumeration():
 
 
 def test_spellings():
-    for s in ("idiot", "IDIOT", "idiooooot", "i-d-i-o-t", "id1ot", "i***t", "іdіоt", "id#ot"):
-        assert X.word_class(s, X.normal_form(s)) == "i", s
+    known = X.Spellings(["idiot", "parasite"])
+    for s in ("idiot", "IDIOT", "idiooooot", "i-d-i-o-t", "id1ot", "i***t", "іdіоt", "id#ot", "i d i o t"):
+        assert X._TOKEN.findall(s) == [s] and known.read(s, X.normal_form(s)) == "idiot", s
+    assert known.read("parsite", "parsite") == "parasite" and known.read("paarsite", X.normal_form("paarsite")) == "parasite"
     for s in ("assembly", "src/a/b.py", "idle_token", "class", "editor"):
-        assert X.word_class(s, X.normal_form(s)) == "", s
+        assert known.read(s, X.normal_form(s)) not in known.known, s
 
 
-def test_toxicity(spark):
-    frames = ["Please rebase, `{}` conflicts with the change.", "The number of rows went from {} to 9.", "Thanks, that explains why {} fails.", "Kill the child process {} first."]
+def _labelled(n):
+    frames = ["Please rebase, `{}` conflicts with the change.", "The number of rows went from {} to 9.", "Thanks, that explains why {} fails.", "Kill the child process {} first.", "This {} is garbage, I was an idiot to write it."]
     rng = np.random.default_rng(3)
     docs, labels = [], []
-    for i in range(80):
-        t = " ".join(frames[int(rng.integers(4))].format(f"x{rng.integers(50)}") for _ in range(3))
+    for i in range(n):
+        t = " ".join(frames[int(rng.integers(5))].format(f"x{rng.integers(50)}") for _ in range(3))
         if i % 8 == 0:
-            t += " Shut up, you worthless idiot."
+            t += [" Shut up, you worthless idiot.", " You are a worthless moron and everybody knows it.", " Nobody wants you here, you pathetic moron!"][i // 8 % 3]
         docs.append((i, t, "s", 0.5))
         labels.append((i, 1 if i % 8 == 0 else 0, "insult" if i % 8 == 0 else None))
-    docs += [(900, None, "s", 0.5), (901, "", None, 0.5), (902, " \n", "s", 0.5), (903, "you are a m​oron", "s", 0.5), (904, "the daemon dies when its parent is killed " * 400, "s", 0.5)]
+    return docs, labels
+
+
+def test_toxicity(spark):
+    docs, labels = _labelled(240)
+    docs += [(900, None, "s", 0.5), (901, "", None, 0.5), (902, " \n", "s", 0.5), (903, "Nobody wants you here, you pathetic m​oron!", "s", 0.5), (904, "the daemon dies when its parent is killed " * 400, "s", 0.5), (905, "Nobody wants you here, you pathetic m*r*n!", None, 0.5)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, score double")
     l = spark.createDataFrame(labels + [(900, None, None)], "doc_id bigint, abusive int, category string")
-    crf = X.train(d, l)
-    got = {r.doc_id: r for r in X.score_documents(d, crf, ["doc_id", "source"]).collect()}
-    assert {i for i, r in got.items() if r.score >= X.THRESHOLD} == set(range(0, 80, 8)) | {903}
+    model = X.train(d, l)
+    assert "moron" in model[1]
+    got = {r.doc_id: r for r in X.score_documents(d, model, ["doc_id", "source"]).collect()}
+    assert {i for i, r in got.items() if r.score >= X.THRESHOLD} == set(range(0, 240, 8)) | {903, 905}
     assert [got[i].score for i in (900, 901, 902)] == [0.0] * 3
-    text = docs[8][1]
-    p = got[8].passages[0]
-    assert "you" in text[p.begin : p.end] and "Shut" in text[p.begin : p.end + 1]
-    assert X.score_documents(d.limit(0), crf, ["doc_id"]).count() == 0
+    text = docs[0][1]
+    p = got[0].passages[0]
+    assert "you worthless idiot" in text[p.begin : p.end] and "rows" not in text[p.begin : p.end]
+    assert X.score_documents(d.limit(0), model, ["doc_id"]).count() == 0
+    none = X.train(d, l.where("abusive = 0"))
+    assert X.score_documents(d, none, ["doc_id"]).where("score >= 0.01").count() == 0
+    assert X.score_documents(d, X.train(d.limit(0), l), ["doc_id"]).where("score >= 0.01").count() == 0
 
 
-def test_training_reads_all_sentences(monkeypatch):
-    class Stop(Exception):
-        pass
+def test_validation_holds_documents_out(spark):
+    docs, labels = _labelled(400)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, score double")
+    got = {r.label: (r.documents, r.flagged) for r in X.validate(d, spark.createDataFrame(labels, "doc_id bigint, abusive int, category string")).collect()}
+    assert 0 < sum(n for n, _ in got.values()) < 150
+    assert got[1][0] == got[1][1] and got[0][1] == 0
 
-    def fit(self, seqs, labels, weights, *rest, **more):
-        raise Stop(len(seqs), float(weights.sum()))
 
-    monkeypatch.setattr(X.CRF, "fit", fit)
-    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
-    base = len(X.bundled()[0])
-    docs = [(f"{word(i)} fails again", 0) for i in range(13_000)] + [(f"{word(i)} passes again", -1) for i in range(2_000)]
-    with pytest.raises(Stop) as got:
-        X.train_model(docs + docs[:50])
-    assert got.value.args[0] == base + 15_000  # one copy of each, background included
-    assert abs(got.value.args[1] - (base + 13_000 + 2_000 * X.BACKGROUND_WEIGHT / 3)) < 1e-3
+def test_training_rows_are_drawn_by_hash(spark, monkeypatch):
+    """The bounds hold for each kind of document apart, whatever the order of ids."""
+    for name, bound in (("POSITIVE_DOCS", 40), ("NEGATIVE_DOCS", 300), ("BACKGROUND_DOCS", 200)):
+        monkeypatch.setattr(X, name, bound)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    known = spark.range(2000).selectExpr("id AS doc_id", "CAST(id % 10 = 0 AS INT) AS label")
+    rows = X.training_rows(docs, known).collect()
+    for label, want in ((1, 40), (0, 300), (-1, 200 * 4000 / 6000)):
+        ids = [r.doc_id for r in rows if r.label == label]
+        assert abs(len(ids) - want) < 5 * want**0.5
+        assert max(ids) > (1500 if label >= 0 else 5000)
 
 
 def test_document_labels(spark):
-    rows = [(1, 1, "insult"), (1, 0, None), (2, 1, "other"), (3, 1, "other"), (3, 1, "other"), (4, 0, None), (4, None, None), (5, None, None)]
+    rows = [(1, 1, "insult"), (1, 0, None), (2, 1, "other"), (3, 1, "hate"), (3, 1, "other"), (4, 0, None), (4, None, None), (5, None, None)]
     got = {r.doc_id: r.label for r in X.document_labels(spark.createDataFrame(rows, "doc_id bigint, abusive int, category string")).collect()}
     assert got == {1: 1, 3: 1, 4: 0}
 
