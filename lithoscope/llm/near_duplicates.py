@@ -3,16 +3,26 @@
 Words are runs of ASCII letters, digits and underscores; a record is the set of
 its runs of five words. Records with the same set are one class, and only
 class representatives are compared. Each of ``TREES`` trees labels a
-representative with a string of MinHash values; sorted labels are the tree's
-prefix trie, and records whose labels agree on a prefix are candidates. The
-prefix starts at ``DEPTH`` values and is shortened until the modelled recall at
-the threshold reaches ``RECALL``. Candidates whose full signatures differ by
-more than six standard errors are dropped, the rest is verified on the texts,
-so precision is exact.
-
-Hot prefixes: counts per prefix are aggregated on the map side; a prefix with
-more than ``BLOCK`` records is cut into blocks and compared block against block
-in separate tasks, which loses no pair and bounds each task.
+representative with a string of MinHash values; the sorted labels are the tree's
+prefix trie, in which records that agree on a prefix are neighbours.
+
+The tries are built once, from the shortest prefix that may be needed (at which
+the modelled recall of a pair exactly at the threshold is ``FLOOR_RECALL``) to
+``STEPS`` values more, and written: runs of records with that prefix, sorted by
+label, records that are alone left out. The join descends them: it starts with
+the longest prefixes, verifies what they match, and estimates from the
+similarities of the verified pairs how many pairs these prefixes miss (a pair of
+similarity s is met with probability ``1 - (1 - s**depth)**TREES``, so it stands
+for one over that many; one pair at the threshold is always thought missed).
+While the estimated recall is below ``RECALL`` the prefixes are shortened by a
+value; pairs verified before aren't verified again. Candidates whose full
+signatures differ by more than six standard errors are dropped, the rest is
+verified on the texts, so precision is exact.
+
+Hot prefixes: counts per prefix are aggregated on the map side; records of a
+prefix with more than ``BLOCK`` are cut into blocks before they are brought
+together, and block is compared with block in separate tasks. No pair is lost,
+and no task sees more than two blocks of a prefix at once.
 """
 
 from __future__ import annotations
@@ -28,9 +38,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, spread, written
 
-TREES, DEPTH, HASHES = 64, 8, 128
-RECALL = 0.999
+TREES, STEPS, HASHES = 64, 2, 128
+RECALL, FLOOR_RECALL = 0.9999, 0.999
 BLOCK = 256
+#: most hot prefixes that are broadcast; more of them are joined with salt
+BROADCAST_ROWS, SALTS = 500_000, 16
 SHINGLE = 5
 _WORDS = re.compile(r"[A-Za-z0-9_]+", re.ASCII).findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,12 +88,14 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def depth_for(threshold: float, recall: float = RECALL) -> int:
-    """Prefix length: shortened from DEPTH until the modelled recall is met."""
-    for depth in range(DEPTH, 1, -1):
-        if 1 - (1 - threshold**depth) ** TREES >= recall:
-            return depth
-    return 1
+def met(similarity: float, depth: int) -> float:
+    """Modelled probability that a pair shares a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def floor_depth(threshold: float, recall: float = FLOOR_RECALL) -> int:
+    """The longest prefix that meets the recall for pairs at the threshold, at least 1."""
+    return max([d for d in range(1, HASHES // 4) if met(threshold, d) >= recall], default=1)
 
 
 def labels(depth: int) -> list[list[int]]:
@@ -120,59 +134,122 @@ def record_sets(files: DataFrame, min_tokens: int, id_col: str = "file_id", text
     return spread(rows).mapInArrow(run, "file_id bigint, cls binary, sig array<int>")
 
 
-def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within runs of equal (bucket, i, j); a run has at most two blocks."""
-    held: list[tuple[int, int]] = []
-    last = None
+_CHUNK = "runs binary, tails binary, sides binary, ids binary"
+
 
-    def pairs(rows: list[tuple[int, int]], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r[0] for r in rows], np.int64)
-        if i == j:
-            x, y = np.triu_indices(len(ids), 1)
-            a, b = ids[x], ids[y]
-        else:
-            block = np.array([r[1] for r in rows])
-            left, right = ids[block == i], ids[block == j]
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        return np.minimum(a, b), np.maximum(a, b)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (node, i, j, tail, side, id) to chunks of whole runs with more than one record.
+
+    A chunk is a row of packed columns, so it stays whole wherever a file is split.
+    """
+    held: list[np.ndarray] = []
+
+    def chunk(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        key = np.stack(cols[:3])
+        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)] if key.shape[1] else np.zeros(0, bool)
+        run = np.cumsum(new)
+        many = np.bincount(run, minlength=1)[run] > 1
+        if not many.any():
+            return None
+        packed = [run[many].astype(np.int32), cols[3][many], cols[4][many].astype(np.int8), cols[5][many]]
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["runs", "tails", "sides", "ids"])
 
     for batch in batches:
-        out = []
-        for key in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if key[:3] != last:
-                if len(held) > 1:
-                    out.append(pairs(held, last[1], last[2]))
-                held, last = [], key[:3]
-            held.append(key[3:])
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out))
-            both = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-    if len(held) > 1:
-        a, b = pairs(held, last[1], last[2])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) that share a prefix in some tree."""
-    depth = depth_for(threshold)
-    trees = F.array(*[F.xxhash64(F.lit(t), *[F.get("sig", F.lit(i)) for i in f]) for t, f in enumerate(labels(depth))])
-    rows = reps.select(F.col("rep").alias("id"), F.explode(trees).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = (
-        rows.join(shared, "bucket")
-        .withColumn("nb", blocks)
-        .withColumn("at", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "at")
-    )
-    return (
-        placed.repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_run_pairs, "a bigint, b bigint")
-        .distinct()
-    )
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        # the last run may go on in the next batch; a run has at most two blocks
+        last = np.ones(len(cols[0]), bool)
+        for c in cols[:3]:
+            last &= c == c[-1]
+        held = [c[last] for c in cols]
+        out = chunk([c[~last] for c in cols])
+        if out is not None:
+            yield out
+    if held:
+        out = chunk(held)
+        if out is not None:
+            yield out
+
+
+def forest(reps: DataFrame, floor: int) -> DataFrame:
+    """The written tries of (rep, sig): chunks of runs that share ``floor`` values.
+
+    ``tails`` hold the next STEPS values of the label, so runs are sorted by label.
+    """
+    bits = 64 // STEPS
+    kinds = []
+    for t, f in enumerate(labels(floor + STEPS)):
+        node = F.xxhash64(F.lit(t), *[F.get("sig", F.lit(i)) for i in f[:floor]])
+        tail = F.lit(0).cast("bigint")
+        for i in f[floor:]:
+            tail = F.shiftleft(tail, bits).bitwiseOR(F.get("sig", F.lit(i)).cast("bigint").bitwiseAND(F.lit((1 << bits) - 1)))
+        kinds.append(F.struct(node.alias("node"), tail.alias("tail")))
+    rows = reps.select(F.col("rep").alias("id"), F.explode(F.array(*kinds)).alias("x")).select("x.node", "x.tail", "id")
+    hot = written(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-prefixes")
+    amount = hot.count()
+    none = F.lit(0)
+    if amount == 0:
+        cold, split = rows, None
+    elif amount <= BROADCAST_ROWS:
+        cold = rows.join(F.broadcast(hot), "node", "left_anti")
+        split = rows.join(F.broadcast(hot), "node")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        wide = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        cold = salted.join(wide.drop("n"), ["node", "salt"], "left_anti").drop("salt")
+        split = salted.join(wide, ["node", "salt"]).drop("salt")
+    placed = cold.select("node", none.alias("i"), none.alias("j"), "tail", none.alias("side"), "id")
+    if split is not None:
+        nb = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+        blocks = (
+            split.withColumn("at", F.pmod(F.xxhash64("id", F.lit(7)), nb).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
+            # within a block all pairs, between two only those across
+            .select("node", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "tail",
+                    F.when(F.col("at") == F.col("other"), 0).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("side"), "id")
+        )
+        placed = placed.unionByName(blocks)
+    runs = placed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "tail", "id").select("node", "i", "j", "tail", "side", "id")
+    return written(runs.mapInArrow(_pack, _CHUNK), "forest")
+
+
+def matched(chunks: DataFrame, floor: int, depth: int) -> DataFrame:
+    """Pairs (a < b) whose longest shared prefix in some tree has ``depth`` values.
+
+    At ``floor + STEPS`` also longer ones, as labels end there.
+    """
+    bits = 64 // STEPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for runs, tails, sides, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                runs, tails, sides, ids = np.frombuffer(runs, np.int32), np.frombuffer(tails, np.uint64), np.frombuffer(sides, np.int8), np.frombuffer(ids, np.int64)
+                # prefixes of this depth are finer runs of the same order
+                cut = np.uint64(bits * (floor + STEPS - depth))
+                fine = tails >> cut if int(cut) < 64 else np.zeros(len(tails), np.uint64)
+                first = np.flatnonzero(np.r_[True, (runs[1:] != runs[:-1]) | (fine[1:] != fine[:-1])])
+                size = np.diff(np.r_[first, len(runs)])
+                out = []
+                for n in np.unique(size[size > 1]):
+                    at = first[size == n]
+                    x, y = np.triu_indices(int(n), 1)
+                    for some in np.array_split(at, max(1, len(at) * len(x) // 500_000)):
+                        a, b = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                        use = (sides[a] == 0) | (sides[a] != sides[b])
+                        if depth < floor + STEPS:  # deeper ones were met before
+                            finer = np.uint64(bits * (floor + STEPS - depth - 1))
+                            use &= (tails[a] >> finer) != (tails[b] >> finer)
+                        use &= ids[a] != ids[b]
+                        a, b = ids[a[use]], ids[b[use]]
+                        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                if out:
+                    both = np.unique(np.concatenate(out, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return chunks.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similar_classes(files: DataFrame, threshold: float, min_tokens: int, id_col: str = "file_id", text: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -187,22 +264,12 @@ def similar_classes(files: DataFrame, threshold: float, min_tokens: int, id_col:
     sets = written(record_sets(files, min_tokens, id_col, text), "record-sets")
     reps = sets.groupBy("cls").agg(F.min(F.struct("file_id", "sig")).alias("r")).select("cls", F.col("r.file_id").alias("rep"), F.col("r.sig").alias("sig"))
     members = sets.select("file_id", "cls").distinct().join(reps.select("cls", "rep"), "cls").select("file_id", "rep")
-    candidates = candidate_pairs(reps, threshold)
+    floor = floor_depth(threshold)
+    chunks = forest(reps, floor)
     sig = reps.select("rep", "sig")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     least = threshold - 6 * (threshold * (1 - threshold) / HASHES) ** 0.5
-    near = (
-        candidates.join(sig.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a")
-        .join(sig.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b")
-        .where(agree >= F.lit(int(least * HASHES)))
-        .select("a", "b")
-    )
-    near = written(near, "near-pairs")
     texts = files.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(ends, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    texts = written(texts, "near-texts")
-    both = near.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, np.ndarray] = {}
@@ -225,21 +292,64 @@ def similar_classes(files: DataFrame, threshold: float, min_tokens: int, id_col:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["a", "b", "similarity"])
 
-    links = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint, similarity double")
-    return members, written(links, "near-links")
+    seen: DataFrame | None = None
+    links: DataFrame | None = None
+    for depth in range(floor + STEPS, floor - 1, -1):
+        near = matched(chunks, floor, depth)
+        if seen is not None:
+            near = near.join(seen, ["a", "b"], "left_anti")
+        near = written(
+            near.join(sig.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a")
+            .join(sig.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b")
+            .where(agree >= F.lit(int(least * HASHES)))
+            .select("a", "b"),
+            "near-pairs",
+        )
+        ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        known = written(texts.join(ends, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "near-texts")
+        both = near.join(known.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(known.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
+        found = written(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint, similarity double"), "near-links")
+        seen = near if seen is None else seen.unionByName(near)
+        links = found if links is None else links.unionByName(found)
+        if depth > floor and estimated_recall(links, threshold, depth) >= RECALL:
+            break
+    return members, links
+
+
+def estimated_recall(links: DataFrame, threshold: float, depth: int) -> float:
+    """Share of all pairs that ``links``, met with prefixes of ``depth``, seem to be."""
+    chance = 1 - F.pow(1 - F.pow(F.col("similarity"), F.lit(depth)), F.lit(TREES))
+    n, total = links.agg(F.count("*"), F.coalesce(F.sum(1 / chance), F.lit(0.0))).first()  # a single row
+    return n / (total + 1 - met(threshold, depth)) if n else 0.0
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """``file_id, rep, nb, block``: members of a class cut into blocks of about BLOCK."""
+    sizes = members.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    big = written(sizes.where("nb > 1"), "large-classes")
+    # classes of more than BLOCK copies, at most one for each BLOCK records; their rows are salted
+    wide = big.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS))).join(wide, ["rep", "salt"], "left")
+    return salted.select("file_id", "rep", F.coalesce("nb", F.lit(1)).alias("nb")).withColumn("block", F.pmod(F.xxhash64("file_id", F.lit(7)), F.col("nb")).cast("int"))
 
 
 def pairs_of_records(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs of records, copies expanded: ``file_a < file_b``.
 
     The expansion is an equi-join on the class, for results that ask for it;
-    (members, links) holds the same information without it.
+    (members, links) holds the same information without it. Classes of many
+    copies are cut into blocks, and block is joined with block.
     """
-    m = members
-    same = m.withColumnRenamed("file_id", "file_a").join(m.withColumnRenamed("file_id", "file_b"), "rep").where("file_a < file_b")
+    m = written(_blocked(members), "members")
+    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left = m.select(F.col("file_id").alias("file_a"), "rep", F.col("block").alias("i"), every.alias("j"))
+    right = m.select(F.col("file_id").alias("file_b"), "rep", F.col("block").alias("j"), every.alias("i"))
+    same = left.join(right, ["rep", "i", "j"]).where("file_a < file_b")
+    places = m.select("rep", "block").distinct()
+    ends = links.select("a", "b").join(places.withColumnsRenamed({"rep": "a", "block": "i"}), "a").join(places.withColumnsRenamed({"rep": "b", "block": "j"}), "b")
     cross = (
-        links.join(m.withColumnsRenamed({"file_id": "x", "rep": "a"}), "a")
-        .join(m.withColumnsRenamed({"file_id": "y", "rep": "b"}), "b")
+        ends.join(m.select(F.col("file_id").alias("x"), F.col("rep").alias("a"), F.col("block").alias("i")), ["a", "i"])
+        .join(m.select(F.col("file_id").alias("y"), F.col("rep").alias("b"), F.col("block").alias("j")), ["b", "j"])
         .select(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b"))
     )
     return same.select("file_a", "file_b").unionByName(cross)

@@ -67,7 +67,66 @@ def test_empty_and_depth(spark):
     members, links = N.similar_classes(e, 0.6, 50)
     assert members.count() == 0 and links.count() == 0 and N.groups(members, links).count() == 0
     assert S.shared_spans(e).count() == 0
-    assert N.depth_for(0.6) < N.depth_for(0.85) <= N.DEPTH
+    floors = [N.floor_depth(t) for t in (0.1, 0.4, 0.6, 0.85, 0.95)]
+    assert floors == sorted(floors) and floors[0] == 1 and floors[2] < floors[3]
+    assert all(N.met(t, f) >= N.FLOOR_RECALL for t, f in zip((0.4, 0.6, 0.85), floors[1:]))
+
+
+def test_forest_at_all_presets(spark):
+    rows = corpus(5, 80)
+    df = spark.createDataFrame(rows, "file_id bigint, source string")
+    data = [(i, s) for i, n, s in ((i, *sets(t)) for i, t in rows) if n >= 30]
+    for threshold in (0.4, 0.6, 0.85):
+        got = {(r.file_a, r.file_b) for r in N.pairs_of_records(*N.similar_classes(df, threshold, 30)).collect()}
+        want = {(a, b) for a, x in data for b, y in data if a < b and len(x & y) >= threshold * len(x | y)}
+        assert got == want and want, threshold
+
+
+def test_descent(spark):
+    """Each level holds the pairs whose longest shared prefix ends there, whatever the chunks."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(-2**31, 2**31, N.HASHES)
+    sigs = []
+    for i in range(40):
+        s = base.copy()
+        change = rng.random(N.HASHES) < rng.choice([0.05, 0.3, 0.6])
+        s[change] = rng.integers(-2**31, 2**31, int(change.sum()))
+        sigs.append((i, [int(x) for x in s]))
+    reps = spark.createDataFrame(sigs, "rep bigint, sig array<int>")
+    floor = 3
+    prefixes = N.labels(floor + N.STEPS)
+    want = {d: set() for d in range(floor, floor + N.STEPS + 1)}
+    for a, x in sigs:
+        for b, y in sigs:
+            if a < b:
+                for f in prefixes:
+                    n = next((k for k, i in enumerate(f) if x[i] != y[i]), len(f))
+                    if n >= floor:
+                        want[n].add((a, b))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        chunks = N.forest(reps, floor)
+        for d, pairs in want.items():
+            assert {(r.a, r.b) for r in N.matched(chunks, floor, d).collect()} == pairs and pairs
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    links = spark.range(1000).select(F.lit(0.9).alias("similarity"))
+    assert N.estimated_recall(links, 0.6, 4) > 0.999 > N.estimated_recall(links.select(F.lit(0.6).alias("similarity")), 0.6, 6)
+    assert N.estimated_recall(links.limit(0), 0.6, 4) == 0.0
+
+
+def test_large_classes_are_joined_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rows = corpus(1, 10)
+    rows += [(2000 + i, rows[0][1]) for i in range(45)] + [(3000 + i, rows[1][1]) for i in range(20)]
+    members, links = N.similar_classes(spark.createDataFrame(rows, "file_id bigint, source string"), 0.6, 50)
+    got = [(r.file_a, r.file_b) for r in N.pairs_of_records(members, links).collect()]
+    data = [(i, s) for i, n, s in ((i, *sets(t)) for i, t in rows) if n >= 50]
+    want = {(a, b) for a, x in data for b, y in data if a < b and len(x & y) >= 0.6 * len(x | y)}
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def shared(rows):
