@@ -37,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, spread, written
+from .skew import SALTS, hot_rows
 
 TREES, STEPS, HASHES = 64, 2, 128
 RECALL, FLOOR_RECALL = 0.9999, 0.999
 BLOCK = 256
-#: most hot prefixes that are broadcast; more of them are joined with salt
-BROADCAST_ROWS, SALTS = 500_000, 16
 SHINGLE = 5
 _WORDS = re.compile(r"[A-Za-z0-9_]+", re.ASCII).findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -188,19 +187,9 @@ def forest(reps: DataFrame, floor: int) -> DataFrame:
             tail = F.shiftleft(tail, bits).bitwiseOR(F.get("sig", F.lit(i)).cast("bigint").bitwiseAND(F.lit((1 << bits) - 1)))
         kinds.append(F.struct(node.alias("node"), tail.alias("tail")))
     rows = reps.select(F.col("rep").alias("id"), F.explode(F.array(*kinds)).alias("x")).select("x.node", "x.tail", "id")
-    hot = written(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-prefixes")
-    amount = hot.count()
     none = F.lit(0)
-    if amount == 0:
-        cold, split = rows, None
-    elif amount <= BROADCAST_ROWS:
-        cold = rows.join(F.broadcast(hot), "node", "left_anti")
-        split = rows.join(F.broadcast(hot), "node")
-    else:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        wide = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        cold = salted.join(wide.drop("n"), ["node", "salt"], "left_anti").drop("salt")
-        split = salted.join(wide, ["node", "salt"]).drop("salt")
+    hot = written(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-prefixes")
+    cold, split = hot_rows(rows, hot, ["node"], "id")
     placed = cold.select("node", none.alias("i"), none.alias("j"), "tail", none.alias("side"), "id")
     if split is not None:
         nb = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")

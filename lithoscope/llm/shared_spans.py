@@ -13,15 +13,18 @@ The choice depends on the text alone, so two records that share a span of
    whole context also occurs in another record, all spans of ``LEAST`` around it
    are shared.
 3. What is left lies at the ends of shared passages. Where a window has at most
-   ``GROUP`` differing contexts, these are compared letter by letter; where it
-   has more, every span of ``LEAST`` that contains it is hashed and grouped
-   exactly.
+   ``GROUP`` differing contexts, these are compared letter by letter, a context
+   that one record holds in many places once; where it has more, every span of
+   ``LEAST`` that contains it is hashed and grouped exactly.
 
 Spans are told apart by 128 bits over their whole text; grouping aggregates
-(smallest and largest record) on the map side, so a passage that a third of all records hold is a
-single row per task. The sketch has ``2**SKETCH_BITS`` one-byte counters for
-each of ``ROWS`` hash rows, whatever the data; past its capacity it passes more
-windows on, which costs time and loses none.
+(smallest and largest record) on the map side, so a passage that a third of all
+records hold is a single row per task, and contexts of more than ``HOT`` windows
+are joined without bringing their windows together. The sketch has two to four
+counters for each window the size of the input lets expect, between
+``2**LEAST_BITS`` and ``2**MOST_BITS`` of them in each of ``ROWS`` hash rows;
+past its capacity it passes more windows on, which costs time and loses none.
+Very long texts are hashed in overlapping pieces of ``PIECE`` code points.
 """
 
 from __future__ import annotations
@@ -35,13 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, spread, written
+from .skew import hot_join
 
 LEAST = 300
 GRAM = 150
 SIDE = LEAST - GRAM
 #: groups of at most this many differing contexts are compared in memory
 GROUP = 32
-ROWS, SKETCH_BITS = 2, 24
+ROWS, LEAST_BITS, MOST_BITS = 2, 20, 27
+#: windows of one context that may meet in a task
+HOT = 100_000
+#: code points of a text that are hashed at once
+PIECE = 1 << 20
 _U = np.uint64
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS: dict[int, np.ndarray] = {}
@@ -113,19 +121,54 @@ def kept_windows(text: Text) -> tuple[np.ndarray, np.ndarray]:
     return starts, h[starts]
 
 
-def _cells(h: np.ndarray) -> list[np.ndarray]:
+def pieces(t: str) -> Iterator[tuple[int, int, int]]:
+    """(begin, first, last): pieces of a text and the windows each answers for.
+
+    A window is kept by what lies within LEAST of it, and its context reaches
+    SIDE; both lie inside the piece that answers for it.
+    """
+    n, margin = len(t), 2 * LEAST
+    for first in range(0, max(n, 1), PIECE):
+        yield max(first - margin, 0), first, min(first + PIECE, n)
+
+
+def kept_contexts(t: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each piece the kept windows: starts, hashes, hashes of contexts, their reach to both sides."""
+    for begin, first, last in pieces(t):
+        x = Text(t[begin : last + 2 * LEAST])
+        starts, h = kept_windows(x)
+        mine = (starts + begin >= first) & (starts + begin < last)
+        starts, h = starts[mine], h[mine]
+        left, right = np.maximum(starts - SIDE, 0), np.minimum(starts + GRAM + SIDE, x.n)
+        wide = x.windows(left, right - left) + (right - left).astype(_U)
+        yield starts + begin, h, wide, starts - left, right - starts
+
+
+def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
     """Counter of each hash in each row of the sketch."""
-    mask = _U((1 << SKETCH_BITS) - 1)
-    return [((h >> _U(20 * r)) & mask).astype(np.int64) for r in range(ROWS)]
+    mask = _U((1 << bits) - 1)
+    return [((h >> _U(32 * r)) & mask).astype(np.int64) for r in range(ROWS)]
+
 
+def sketch_bits(files: DataFrame) -> int:
+    """Bits for two to four counters a window, from the size of the input's files.
 
-def sketch(files: DataFrame) -> bytes:
+    Text takes about a quarter of its length there, and one in 75 windows is
+    kept. Without a known size, as for rows made in memory, 22.
+    """
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return 22
+    return min(max((size * 4 // 75 * 2).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def sketch(files: DataFrame, bits: int) -> bytes:
     """Saturating counters of all partitions, merged, as packed bits.
 
     A partition sends two bitmaps for each row (met once, met twice), which
     tree-merge: twice = twice | twice | (once & once).
     """
-    size = 1 << SKETCH_BITS
+    size = 1 << bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros((ROWS, size), bool), np.zeros((ROWS, size), bool)
@@ -133,8 +176,8 @@ def sketch(files: DataFrame) -> bytes:
             for t in batch.column(0).to_pylist():
                 if t is None or len(t) < LEAST:
                     continue
-                _, h = kept_windows(Text(t))
-                for r, c in enumerate(_cells(np.unique(h))):
+                h = np.unique(np.concatenate([k[1] for k in kept_contexts(t)]))
+                for r, c in enumerate(_cells(h, bits)):
                     c, n = np.unique(c, return_counts=True)
                     twice[r, c] |= once[r, c] | (n > 1)
                     once[r, c] = True
@@ -160,9 +203,10 @@ def sketch(files: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["part", "once", "twice"])
 
     kind = "part int, once binary, twice binary"
-    parts = spread(files).mapInArrow(fill, kind)
-    # a salted stage bounds what one task merges; parts are of fixed size
-    parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    rows = spread(files)
+    # a salted stage as wide as the root of the number of tasks bounds what one task merges
+    width = max(16, int(rows._jdf.queryExecution().toRdd().getNumPartitions() ** 0.5))
+    parts = rows.mapInArrow(fill, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(width)))
     parts = parts.repartition("part", "salt").select("part", "once", "twice").mapInArrow(merge, kind)
     rows = parts.repartition("part").mapInArrow(merge, kind).select("part", "twice").collect()
     out = bytearray(ROWS * size // 8)
@@ -172,11 +216,11 @@ def sketch(files: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _estimated_repeated(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _estimated_repeated(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     keep = np.ones(len(h), bool)
-    for r, c in enumerate(_cells(h)):
-        c += r << SKETCH_BITS
-        keep &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+    for r, c in enumerate(_cells(h, bits)):
+        c += r << bits
+        keep &= (packed[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return keep
 
 
@@ -192,22 +236,18 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
     spark = files.sparkSession
     ship_package(spark)
     rows = files.select(F.col(id_col).alias("file_id"), F.col(text).alias("t")).where((F.length("t") >= LEAST) & F.col("file_id").isNotNull())
-    packed = spark.sparkContext.broadcast(sketch(rows.select("t")))  # 4 MiB, fixed by SKETCH_BITS
+    bits = sketch_bits(files.select(F.col(text)))
+    packed = spark.sparkContext.broadcast(sketch(rows.select("t"), bits))  # at most 32 MiB, by MOST_BITS
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(packed.value, np.uint8)
+        met_twice = np.frombuffer(packed.value, np.uint8)
         for batch in batches:
             out = []
             for i, t in zip(*(c.to_pylist() for c in batch.columns)):
-                x = Text(t)
-                starts, h = kept_windows(x)
-                good = _estimated_repeated(bits, h)
-                starts, h = starts[good], h[good]
-                if not len(starts):
-                    continue
-                left, right = np.maximum(starts - SIDE, 0), np.minimum(starts + GRAM + SIDE, x.n)
-                wide = x.windows(left, right - left) + (right - left).astype(_U)
-                out.append((np.full(len(h), i), starts, h.view(np.int64), wide.view(np.int64), starts - left, right - starts))
+                for starts, h, wide, back, ahead in kept_contexts(t):
+                    good = _estimated_repeated(met_twice, h, bits)
+                    if good.any():
+                        out.append((np.full(int(good.sum()), i), starts[good], h[good].view(np.int64), wide[good].view(np.int64), back[good], ahead[good]))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays(
@@ -218,7 +258,7 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
     found = written(spread(rows).mapInArrow(second, "file_id bigint, at int, gram bigint, wide bigint, back smallint, ahead smallint"), "windows")
     several = F.min("file_id") != F.max("file_id")
     place = F.struct("file_id", "at")
-    classes = found.groupBy("gram", "wide").agg(several.alias("sure"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    classes = found.groupBy("gram", "wide").agg(several.alias("sure"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("windows"))
     status = (
         classes.groupBy("gram")
         .agg(
@@ -232,7 +272,7 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
     # an open window may also lie inside a context that step 2 settled for
     # others; two records of that context stand for all of them
     stands = (place == F.col("lo")) | (place == F.col("hi"))
-    marked = found.join(classes.join(status, "gram"), ["gram", "wide"]).select(
+    marked = hot_join(found, classes.join(status, "gram"), ["gram", "wide"], "file_id", "windows", HOT).select(
         "file_id", "at", "gram", "back", "ahead", "sure", stands.alias("stands"), "few",
         (~F.col("sure") | (stands & F.col("some_open"))).alias("emit"),
     )
@@ -251,43 +291,45 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
         for batch in batches:
             contexts, spans = [], []
             for i, t, sure, few, many in zip(*(batch.column(c).to_pylist() for c in ("file_id", "t", "sure", "few", "many"))):
+                # one row for a context, wherever the record repeats it
+                places: dict[tuple, list[int]] = {}
                 for x in few:
-                    at = x["at"]
-                    left = max(at - SIDE, 0)
-                    contexts.append((i, at, x["gram"], x["sure"], at - left, t[left : at + GRAM + SIDE]))
+                    left = max(x["at"] - SIDE, 0)
+                    places.setdefault((x["gram"], x["sure"], x["at"] - left, t[left : x["at"] + GRAM + SIDE]), []).append(x["at"])
+                contexts += [(i, 0, gram, sure, back, c, ats) for (gram, sure, back, c), ats in places.items()]
                 if many:
                     n = len(t) - LEAST + 1
                     at = np.array(many)
-                    wanted = _covered(at - SIDE, at + 1, n)
                     # spans settled by a context for which others stand
                     rest = [x for x in sure if not x["stands"]]
-                    if rest:
-                        begin = np.array([x["at"] - x["back"] for x in rest])
-                        end = np.array([x["at"] + x["ahead"] for x in rest]) - LEAST + 1
-                        wanted &= ~_covered(begin, np.maximum(begin, end), n)
-                    starts = np.flatnonzero(wanted)
-                    if len(starts):
-                        one, two = Text(t).windows(starts, LEAST), Text(t, _SECOND).windows(starts, LEAST)
-                        spans.append((np.full(len(starts), i), starts, one.view(np.int64), two.view(np.int64)))
-            names = ["file_id", "at", "gram", "sure", "back", "context", "one", "two"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+                    begin = np.array([x["at"] - x["back"] for x in rest], np.int64)
+                    end = np.maximum(begin, np.array([x["at"] + x["ahead"] for x in rest], np.int64) - LEAST + 1)
+                    for first in range(0, n, PIECE):
+                        size = min(PIECE, n - first)
+                        starts = np.flatnonzero(_covered(at - SIDE - first, at + 1 - first, size) & ~_covered(begin - first, end - first, size))
+                        if len(starts):
+                            piece = t[first : first + size + LEAST]
+                            one, two = Text(piece).windows(starts, LEAST), Text(piece, _SECOND).windows(starts, LEAST)
+                            spans.append((np.full(len(starts), i), starts + first, one.view(np.int64), two.view(np.int64)))
+            names = ["file_id", "at", "gram", "sure", "back", "context", "ats", "one", "two"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
             if contexts:
                 cols = [*zip(*contexts), [None] * len(contexts), [None] * len(contexts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
             if spans:
                 i, at, one, two = (np.concatenate(x) for x in zip(*spans))
-                cols = [i, at, *[None] * 4, one, two]
+                cols = [i, at, *[None] * 5, one, two]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(i), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     ends = written(
         rows.join(per_file.where((F.size("few") > 0) | (F.size("many") > 0)), "file_id")
         .select("file_id", "t", "sure", "few", "many")
-        .mapInArrow(third, "file_id bigint, at int, gram bigint, sure boolean, back int, context string, one bigint, two bigint"),
+        .mapInArrow(third, "file_id bigint, at int, gram bigint, sure boolean, back int, context string, ats array<int>, one bigint, two bigint"),
         "ends",
     )
     compared = (
-        ends.where("context IS NOT NULL").select("gram", "file_id", "at", "sure", "back", "context")
-        .repartition("gram").sortWithinPartitions("gram", "file_id", "at")
+        ends.where("context IS NOT NULL").select("gram", "file_id", "ats", "sure", "back", "context")
+        .repartition("gram").sortWithinPartitions("gram", "file_id")
         .mapInArrow(_compare_contexts, "file_id bigint, begin int, end int")
     )
     windows = ends.where("one IS NOT NULL").select("file_id", "at", "one", "two")
@@ -305,7 +347,7 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
                 end = [x["at"] + x["ahead"] for x in sure] + [x["end"] for x in spans or []]
                 begin, end = np.array(begin, np.int64), np.array(end, np.int64)
                 wide = end - begin >= LEAST
-                out.append((i, int(_covered(begin[wide], end[wide], n).sum()), n))
+                out.append((i, _length(begin[wide], np.minimum(end[wide], n)), n))
             if out:
                 a, b, c = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["file_id", "shared_chars", "n_chars"])
@@ -316,21 +358,25 @@ def shared_spans(files: DataFrame, id_col: str = "file_id", text: str = "source"
 def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans that an open window shares with a record of its group.
 
-    Groups (runs of equal gram) have at most GROUP rows.
+    Groups (runs of equal gram) have at most about GROUP rows, one for each
+    context of a record with all its places.
     """
 
     def spans(group: list[tuple]) -> list[tuple[int, int, int]]:
         out = []
         halves = [(c[:b][::-1], c[b + GRAM :]) for *_, b, c in group]
-        for x, (_, file, at, sure, _, _) in enumerate(group):
+        for x, (_, file, ats, sure, _, _) in enumerate(group):
             if sure:
                 continue
+            reach = set()
             for y, other in enumerate(group):
                 if other[1] != file:
                     left = len(commonprefix((halves[x][0], halves[y][0])))
                     right = len(commonprefix((halves[x][1], halves[y][1])))
                     if left + GRAM + right >= LEAST:
-                        out.append((file, at - left, at + GRAM + right))
+                        reach.add((left, right))
+            largest = [a for a in reach if not any(b != a and b[0] >= a[0] and b[1] >= a[1] for b in reach)]
+            out += [(file, at - left, at + GRAM + right) for left, right in largest for at in ats]
         return out
 
     held: list[tuple] = []
@@ -350,6 +396,16 @@ def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], names=["file_id", "begin", "end"])
 
 
+def _length(begin: np.ndarray, end: np.ndarray) -> int:
+    """Size of the union of the intervals [begin, end)."""
+    if not len(begin):
+        return 0
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    before = np.r_[begin[0], end[:-1]]
+    return int(np.maximum(end - np.maximum(begin, before), 0).sum())
+
+
 def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of 0..n-1 lie in one of the intervals [begin, end)."""
     begin, end = np.clip(begin, 0, n), np.clip(end, 0, n)

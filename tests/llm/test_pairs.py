@@ -163,3 +163,61 @@ def test_shared_spans_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "file_id bigint, source string, gram string")
     got = {r.file_id: r.shared_chars for r in S.shared_spans(df).collect()}
     assert got == shared(rows)
+
+
+def _brute_shared(rows):
+    """Code points in spans of LEAST that another record holds, by comparing all of them."""
+    grams = {i: [t[k : k + S.LEAST] for k in range(len(t) - S.LEAST + 1)] for i, t in rows}
+    holders = {}
+    for i, spans in grams.items():
+        for x in set(spans):
+            holders.setdefault(x, set()).add(i)
+    out = {}
+    for i, spans in grams.items():
+        mark = bytearray(len(dict(rows)[i]))
+        for k, x in enumerate(spans):
+            if len(holders[x]) > 1:
+                mark[k : k + S.LEAST] = b"\1" * S.LEAST
+        if any(mark):
+            out[i] = sum(mark)
+    return out
+
+
+def test_repeated_blocks(spark):
+    """A record that repeats a block many times beside others that hold pieces of it."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh {}()\n") for _ in range(n))
+    block, other = text(310), text(400)
+    rows = [(1, block * 40 + text(50)), (2, text(200) + block[5:] + block[:120] + text(100)), (3, text(80) + (block * 2)[100:420] + text(90)), (4, text(900)), (5, other + text(70)), (6, text(33) + other), (7, "é" * 900), (8, "é" * 500 + text(100))]
+    got = {r.file_id: r.shared_chars for r in S.shared_spans(spark.createDataFrame(rows, "file_id bigint, source string")).collect()}
+    assert got == _brute_shared(rows)
+    # the same at a size where comparing all places would take hours
+    big = [(1, block * 20_000), (2, text(200) + block[5:] + block[:120] + text(100)), (3, text(80) + (block * 2)[100:420] + text(90))]
+    got = {r.file_id: r.shared_chars for r in S.shared_spans(spark.createDataFrame(big, "file_id bigint, source string")).collect()}
+    want = _brute_shared([(1, block * 6), *big[1:]])
+    assert {k: got[k] for k in (2, 3)} == {k: want[k] for k in (2, 3)} and got[1] > 0.9 * len(big[0][1])
+
+
+def test_pieces(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    t = "".join(rng.choice("abc") for _ in range(5000)) + "z" * 1200 + "".join(rng.choice("abc") for _ in range(900))
+    whole = [np.concatenate(x) for x in zip(*S.kept_contexts(t))]
+    assert (whole[0] == S.kept_windows(S.Text(t))[0]).all()
+    for size in (700, 1000, 3333, 7100):
+        monkeypatch.setattr(S, "PIECE", size)
+        cut = [np.concatenate(x) for x in zip(*S.kept_contexts(t))]
+        assert all((a == b).all() for a, b in zip(whole, cut)), size
+    assert S._length(np.array([5, 0, 3]), np.array([9, 4, 6])) == 9 and S._length(np.array([0, 10]), np.array([3, 12])) == 5
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from lithoscope.llm import skew
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    keyed = rows.groupBy("k").count()
+    want = sorted(map(tuple, rows.join(keyed, ["k"]).collect()))
+    for most in (skew.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
+        assert sorted(map(tuple, skew.hot_join(rows, keyed, ["k"], "v", "count", 100).collect())) == want
