@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 # Source extensions and the language of each.
 LANGUAGE_OF = {
-    "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "cs": "csharp", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript",
+    "c": "c", "cc": "cpp", "cpp": "cpp", "cs": "csharp", "csx": "csharp", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript",
     "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "kt": "kotlin",
     "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "vue": "vue", "sh": "bash", "bash": "bash", "ps1": "powershell", "psm1": "powershell",
 }
 # Folders that hold generated or fetched files.
 GENERATED_FOLDERS = ["target", "node_modules", "dist", "build", "out", "vendor", "generated", "__generated__", "coverage", "obj", "bin"]
-TEST_FOLDERS = ["test", "tests", "__tests__", "spec", "specs", "testing"]
+# Folders and file names of tests. Folders are compared in lower case, names as they are.
+TEST_FOLDERS = ["test", "tests", "__tests__", "spec", "specs", "editmode", "playmode"]
+TEST_FOLDER_ENDS = ["_tests", "-tests"]
+TEST_NAMES = "^tests[.]rs$|^test_|[.]test[.]|[.]spec[.]|_test[.](go|py|rs)$|_tests[.]rs$"
+# Words that name no concept of a folder.
+NO_CONCEPT = ["mod", "lib", "main", "test"]
 
 
 def normal_path(path: Column) -> Column:
@@ -53,9 +58,33 @@ def language(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    """By any folder or by the file's name."""
-    folders = F.arrays_overlap(F.split(F.lower(parent(path)), "/"), F.array(*map(F.lit, TEST_FOLDERS)))
-    return folders | F.lower(file_name(path)).rlike("^test_|_test\\.|\\.test\\.|\\.spec\\.|^conftest\\.py$")
+    """By the file's name or by any part of the path. A null path is null."""
+    parts = F.split(F.lower(path), "/")
+    named = F.exists(parts, lambda p: p.isin(TEST_FOLDERS) | p.endswith(TEST_FOLDER_ENDS[0]) | p.endswith(TEST_FOLDER_ENDS[1]))
+    return file_name(path).rlike(TEST_NAMES) | named
+
+
+def folded_path(path: Column) -> Column:
+    """``a/../`` and ``./`` parts folded, at any depth; leading ``..`` stay."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.split(path, "/"), none,
+        lambda got, p: F.when((p == ".") | ((p == "") & (F.size(got) > 0)), got)
+        .when((p == "..") & (F.size(got) > 0) & ~F.coalesce(F.try_element_at(got, F.lit(-1)), F.lit("")).isin("..", ""), F.slice(got, 1, F.size(got) - 1))
+        .otherwise(F.concat(got, F.array(p))),
+    )
+    return F.array_join(kept, "/")
+
+
+def folder_words(stem_: Column) -> Column:
+    """Words of a file stem for the concepts of its folder.
+
+    Broken at ``_``, ``-``, ``.`` and before every capital, lower case; words of
+    up to two letters and those of no concept are left out.
+    """
+    spaced = F.regexp_replace(F.regexp_replace(stem_, "[_.-]", " "), "(?<=[^ ])(\\p{Lu})", " $1")
+    words = F.split(F.lower(F.regexp_replace(spaced, "[^\\p{L}\\p{N} ]", "")), " ")
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(NO_CONCEPT))
 
 
 def is_generated_folder(path: Column) -> Column:

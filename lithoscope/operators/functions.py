@@ -1,6 +1,7 @@
 """Function facts by a lexical scanner: spans, complexity, nesting, clones.
 
-Brace languages are read by brace depth over masked text, Python by indent.
+Brace languages are read by brace depth over masked text, Python by indent,
+shell functions by braces with nesting by their block words.
 Coverage of a lexical scan is partial by nature and is reported as such.
 """
 
@@ -21,7 +22,11 @@ _MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]
 _MASK_PY = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\#[^\n]*")
 _HEAD = re.compile(r"(?:\b(?:fn|func|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)|^[ \t]+(?:(?:public|private|protected|static|final|async|override|internal|virtual)\s+)+[\w<>\[\], ]+?\s([A-Za-z_]\w*))[^;{}=]*\{", re.M)
 _HEAD_PY = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)", re.M)
-_DECISIONS = re.compile(r"\b(?:if|elif|for|foreach|while|case|catch|except|when)\b|&&|\|\||\band\b|\bor\b|\?(?![.?:\[])")
+_MASK_SH = re.compile(r"(?<![\w$\"'}])\#[^\n]*|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'")
+_HEAD_SH = re.compile(r"^[ \t]*(?:function[ \t]+([A-Za-z_][\w:.-]*)[ \t]*(?:\([ \t]*\))?|([A-Za-z_][\w:.-]*)[ \t]*\([ \t]*\))\s*\{", re.M)
+_BLOCKS_SH = re.compile(r"(?:^|(?<=[\s;&|(!]))(if|for|while|until|case|select|fi|done|esac)(?=[\s;&|)]|$)", re.M)
+_COMMAND_SH = re.compile(r"(?:^|[;&|({`!]|\b(?:then|do|else|elif|if|while|until)\b)[ \t]*([A-Za-z_][\w-]*)", re.M)
+_DECISIONS = re.compile(r"\b(?:if|elif|for|foreach|while|until|case|catch|except|when)\b|&&|\|\||\band\b|\bor\b|\?(?![.?:\[])")
 _NESTS = re.compile(r"\b(?:if|elif|else|for|foreach|while|switch|match|try|case)\b")
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\"|[^\s\w]")
 # Words that keep their spelling in a normalised stream.
@@ -34,33 +39,46 @@ def _blank(m: re.Match) -> str:
     return mark + "\n" * text.count("\n")
 
 
+_EDGES_PY = re.compile(r"[(\[{]|[)\]}]|\n([ \t]*)(?=[^\s])")
+_BRACES = re.compile(r"[{}]")
+
+
+def _masked(source: str, language: str) -> str:
+    """The text with comments and strings blanked, line ends kept."""
+    mask = _MASK_PY if language == "python" else _MASK_SH if language == "bash" else _MASK
+    return mask.sub(_blank, source.replace("\r\n", "\n"))
+
+
 def scan(source: str, language: str) -> list[tuple]:
     """(name, line, loc, complexity, nesting, parameters, tokens) of each function."""
-    python = language == "python"
-    masked = (_MASK_PY if python else _MASK).sub(_blank, source.replace("\r\n", "\n"))
+    python, shell = language == "python", language == "bash"
+    masked = _masked(source, language)
     out = []
-    for m in (_HEAD_PY if python else _HEAD).finditer(masked):
+    counted, lines = 0, 0  # line ends up to a place
+    for m in (_HEAD_PY if python else _HEAD_SH if shell else _HEAD).finditer(masked):
         name = m.group(2) if python else m.group(1) or m.group(2)
         start = m.start()
         if python:
             indent = len(m.group(1).expandtabs())
             end = len(masked)
             depth = 0
-            for n in re.finditer(r"[(\[{]|[)\]}]|\n([ \t]*)(?=[^\s])", masked[m.end() :]):
+            for n in _EDGES_PY.finditer(masked, m.end()):
                 if n.group()[0] != "\n":
                     depth += 1 if n.group() in "([{" else -1
                 elif depth <= 0 and len(n.group(1).expandtabs()) <= indent:
-                    end = m.end() + n.start()
+                    end = n.start()
                     break
         else:
             depth, end = 1, len(masked)
-            for b in re.finditer(r"[{}]", masked[m.end() :]):
+            for b in _BRACES.finditer(masked, m.end()):
                 depth += 1 if b.group() == "{" else -1
                 if not depth:
-                    end = m.end() + b.end()
+                    end = b.end()
                     break
         body = masked[start:end].rstrip()
-        line = masked.count("\n", 0, start + len(m.group()) - len(m.group().lstrip())) + 1
+        at = start + len(m.group()) - len(m.group().lstrip())
+        lines += masked.count("\n", counted, at)
+        counted, line = at, lines + 1
         inside = body[body.find(":") + 1 :] if python else body[body.find("{") + 1 :]
         deepest = 0
         if python:
@@ -73,6 +91,11 @@ def scan(source: str, language: str) -> list[tuple]:
                     if _NESTS.match(row.strip()):
                         levels.append(at)
                         deepest = max(deepest, len(levels))
+        elif shell:
+            depth = 0
+            for b in _BLOCKS_SH.finditer(inside):
+                depth = max(0, depth - 1) if b.group(1) in ("fi", "done", "esac") else depth + 1
+                deepest = max(deepest, depth)
         else:
             stack: list[bool] = []
             last = 0
@@ -84,7 +107,7 @@ def scan(source: str, language: str) -> list[tuple]:
                     stack.pop()
                 last = b.end()
         heading = re.search(re.escape(name) + r"(?:<[^>]*>)?\s*\(([^)]*)\)", body)
-        names = [p.strip() for p in heading.group(1).split(",")] if heading else []
+        names = [p.strip() for p in heading.group(1).split(",")] if heading and not shell else []
         params = sum(bool(p) and not re.match(r"(?:&?\s*(?:mut\s+)?self|cls|this)\b", p) for p in names)
         tokens = ["STR" if t == '"' else "NUM" if t[0].isdigit() else t if not (t[0].isalpha() or t[0] == "_") or t in _KEPT else "ID" for t in _TOKEN.findall(inside)]
         out.append((name, line, body.count("\n") + 1, 1 + len(_DECISIONS.findall(inside)), deepest, params, tokens))
@@ -114,7 +137,7 @@ def function_facts(files: DataFrame, streams: bool = False) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL AND l <> 'bash'")
+    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL")
     return spread(rows).mapInArrow(run, "file_id bigint, name string, line bigint, loc bigint, complexity bigint, nesting_depth bigint, parameter_count bigint, tokens bigint, digest bigint" + ", language string, stream string" * streams)
 
 
@@ -132,19 +155,25 @@ def call_names(files: DataFrame) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "language", "name", "line", "callee"])
 
-    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL AND l <> 'bash'")
+    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), X.language(F.col("path")).alias("l"), F.col("source").alias("s")).where("l IS NOT NULL AND s IS NOT NULL")
     return spread(rows).mapInArrow(run, "file_id bigint, language string, name string, line bigint, callee string")
 
 
+# Shell words that name no command of their own.
+_WORDS_SH = set("if then else elif fi for while until do done case esac select in function return local export readonly declare set unset shift exit true false".split())
 _CALL = re.compile(r"(?<![\w])([A-Za-z_]\w*)\s*\(")
 
 
 def scan_calls(source: str, language: str) -> list[tuple[str, int, list[str]]]:
     """(name, line, called names) of each function; keywords call nothing."""
     rows = []
-    masked = (_MASK_PY if language == "python" else _MASK).sub(_blank, source.replace("\r\n", "\n")).split("\n")
+    masked = _masked(source, language).split("\n")
     for name, line, loc, *_ in scan(source, language):
         body = "\n".join(masked[line - 1 : line - 1 + loc])
+        if language == "bash":
+            heading = _HEAD_SH.match(body)
+            rows.append((name, line, sorted(set(_COMMAND_SH.findall(body[heading.end() :] if heading else body)) - _WORDS_SH)))
+            continue
         called = {c for c in _CALL.findall(body) if c not in _KEPT}
         if len(re.findall(rf"\b{re.escape(name)}\s*\(", body)) <= 1:
             called.discard(name)  # its own heading is no call

@@ -42,16 +42,16 @@ def hubs(nodes: DataFrame, edges: DataFrame, least_nodes: int = 8, least_degree:
     )
 
 
-def reach(edges: DataFrame, forward: bool = True, most: int = 64) -> DataFrame:
+def reach(edges: DataFrame, forward: bool = True) -> DataFrame:
     """``node, reached``: transitive pairs without the node itself, by doubling.
 
     Closure grows quadratically by nature: meant for module graphs, whose
-    number of nodes doesn't follow the data. ``most`` bounds the rounds.
+    number of nodes doesn't follow the data. The rounds end when nothing is new.
     """
     e = edges.select("src", "dst") if forward else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     pairs = written(e.distinct(), "reach")
     n = pairs.count()
-    for _ in range(most):
+    while True:
         longer = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
         pairs = written(pairs.union(longer).distinct(), "reach")
         m = pairs.count()
@@ -130,10 +130,11 @@ def cycle_density(edges: DataFrame, members: DataFrame) -> DataFrame:
     return size.join(inner, "component").withColumn("density", F.floor((F.col("edges") * 200 + whole) / (whole * 2)).cast("bigint"))
 
 
-def depth(edges: DataFrame, members: DataFrame, most: int = 200) -> DataFrame:
+def depth(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``component, depth``: longest path in the condensation, in edges.
 
-    Nodes outside any component stand for themselves.
+    Nodes outside any component stand for themselves. The condensation has no
+    cycle, so the rounds end after the longest path.
     """
     e = edges.where("src <> dst").distinct()
     m = members
@@ -141,7 +142,7 @@ def depth(edges: DataFrame, members: DataFrame, most: int = 200) -> DataFrame:
     dag = written(name(name(e, "src"), "dst").where("src <> dst").select("src", "dst").distinct(), "dag")
     nodes = dag.select(F.col("src").alias("component")).union(dag.select("dst")).distinct()
     level = written(nodes.withColumn("depth", F.lit(0).cast("bigint")), "depth")
-    for _ in range(most):
+    while True:
         up = dag.join(level.withColumnRenamed("component", "dst"), "dst").groupBy(F.col("src").alias("component")).agg((F.max("depth") + 1).alias("up"))
         nxt = written(level.join(up, "component", "left").select("component", F.greatest("depth", F.coalesce("up", F.lit(0))).alias("depth"), F.col("depth").alias("was")), "depth")
         level = nxt.select("component", "depth")

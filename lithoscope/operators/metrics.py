@@ -108,15 +108,21 @@ def innermost(points: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """For each point the span that holds its line and starts last.
 
     ``points``: key, point_id, line; ``spans``: key, name, line, loc. A span
-    covers [line, line + loc). Spans are cut into cells of 64 lines, so the
-    range join is an equi-join on key and cell.
+    covers [line, line + loc). A span belongs to the two neighbouring dyadic
+    cells, of the smallest power of two not below its length, that cover it, and
+    a point to its cell of every size: the range join is an equi-join on key,
+    size and cell, with two rows for a span however long it is.
     """
-    cell = 64
     s = spans.where("line IS NOT NULL AND loc > 0").select(
         *key, F.col("name"), F.col("line").alias("first"), (F.col("line") + F.col("loc")).alias("end"),
-    ).withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("end") - 1) / cell))))
-    p = points.where("line IS NOT NULL").withColumn("cell", F.floor(F.col("line") / cell))
-    met = p.join(s, [*key, "cell"]).where((F.col("line") >= F.col("first")) & (F.col("line") < F.col("end")))
+        F.ceil(F.log2(F.col("loc"))).cast("int").alias("size"),
+    )
+    low = F.expr("shiftright(first, size)")
+    s = s.withColumn("cell", F.explode(F.array_distinct(F.array(low, F.expr("shiftright(end - 1, size)")))))
+    # only sizes that spans have; at most 63 rows
+    sizes = s.groupBy(*key).agg(F.collect_set("size").alias("sizes"))
+    p = points.where("line IS NOT NULL").join(sizes, key).withColumn("size", F.explode("sizes")).withColumn("cell", F.expr("shiftright(line, size)")).drop("sizes")
+    met = p.join(s, [*key, "size", "cell"]).where((F.col("line") >= F.col("first")) & (F.col("line") < F.col("end")))
     return met.groupBy("point_id").agg(F.max(F.struct("first", "name")).alias("m")).select(
         "point_id", F.col("m.name").alias("symbol"), F.col("m.first").alias("symbol_line")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -19,20 +19,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     local = imports.where(F.col("module").rlike("^[.]")).distinct()
     joined = F.concat_ws("/", X.parent(F.col("src")), F.col("module"))
-    folded = _fold(F.regexp_replace(X.normal_path(joined), "^[.]/", ""))
+    folded = X.folded_path(X.normal_path(joined))
     tries = local.withColumn("base", folded).select("src", "module", "base", F.posexplode(F.array(*map(F.lit, ENDINGS))).alias("rank", "ending"))
     known = files.select(F.col("path").alias("dst")).distinct()
     hit = tries.withColumn("dst", F.concat("base", "ending")).join(known, "dst").groupBy("src", "module").agg(F.min(F.struct("rank", "dst"))["dst"].alias("dst"))
     return local.join(hit, ["src", "module"], "left").select("src", "module", "dst")
 
 
-def _fold(path: Column) -> Column:
-    """``a/../`` folded; deeper runs of it need one pass each."""
-    for _ in range(6):
-        path = F.regexp_replace(path, "(^|/)(?!\\.\\./)[^/]+/\\.\\./", "$1")
-    return path
-
-
 def glob_regex(pattern: str) -> str:
     """A path glob as a regular expression; without wildcards it holds its subtree, too."""
     plain = pattern.replace("\\", "/").strip("/")
@@ -52,21 +45,27 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}(?:/.*)?$" if not any(c in pattern for c in "*?") else f"^{out}$"
 
 
-def folder_concepts(files: DataFrame, most: int = 40) -> DataFrame:
+def folder_concepts(files: DataFrame, most: int = 40, keep: list[str] | None = None) -> DataFrame:
     """Folders whose file stems hold more distinct words than allowed."""
-    rows = files.select(X.parent(F.col("path")).alias("folder"), X.name_words(X.stem(F.col("path"))).alias("words"))
-    words = rows.select("folder", F.explode("words").alias("word")).where("length(word) > 2")
-    stats = words.groupBy("folder").agg(F.countDistinct("word").alias("concepts"))
+    keep = [*(keep or []), "folder"]
+    rows = files.withColumn("folder", X.parent(F.col("path"))).select(*keep, X.folder_words(X.stem(F.col("path"))).alias("words"))
+    words = rows.select(*keep, F.explode("words").alias("word"))
+    stats = words.groupBy(*keep).agg(F.countDistinct("word").alias("concepts"))
     return stats.where(F.col("concepts") > max(most, 4))
 
 
 def happy_path_only(cases: DataFrame, files: DataFrame, least: int = 3) -> DataFrame:
     """Test files with enough cases and assertions and no word for failure."""
     # Words of assertions and of failing paths.
-    asserts = "assert|expect\\(|should|require\\."
-    negative = "error|fail|invalid|throw|raise|panic|reject|missing|empty|null|none|denied|timeout|negative|exception|unauthori|forbidden|not_found|bad_"
+    asserts = ["expect(", "assert", "should", "t.error", "t.fatal", "require.", "pytest."]
+    negative = [
+        "tothrow", "to_throw", ".rejects", "raises(", "pytest.raises", "should_panic", "is_err", "unwrap_err", "expect_err", " err == nil", "err == nil", " err != nil", "err != nil",
+        "invalid", "missing", "empty", "none", "null", "nil", "zero", "negative", "unauthorized", "forbidden", "not found", "not_found", "error", "failure", "panic", "duplicate",
+        "overflow", "underflow", "timeout", "denied", "boundary", "edge", "does not", "doesn't", "without", "ignore", "ignores", "ignored", "skip", "skips", "skipped", "caps", "prevents",
+    ]
     text = F.lower("source")
-    rows = files.select("file_id", text.rlike(asserts).alias("a"), text.rlike(negative).alias("n"))
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    rows = files.select("file_id", holds(asserts).alias("a"), holds(negative).alias("n"))
     counted = cases.groupBy("file_id").agg(F.count("*").alias("cases")).where(F.col("cases") >= least)
     return counted.join(rows.where("a AND NOT n").select("file_id"), "file_id")
 
@@ -109,32 +108,36 @@ def assembly_references(assemblies: DataFrame) -> DataFrame:
 
 
 # Engine callbacks and look-ups that are slow in a frame.
-LIFECYCLE = ["Awake", "Start", "Update", "FixedUpdate", "LateUpdate", "OnEnable", "OnDisable", "OnDestroy", "OnGUI", "OnTriggerEnter", "OnCollisionEnter", "OnApplicationQuit"]
-SLOW_CALLS = "GameObject\\.Find|FindObjectOfType|GetComponent<|Resources\\.Load|Camera\\.main"
+LIFECYCLE = ["Awake", "OnEnable", "Start", "FixedUpdate", "Update", "LateUpdate", "OnDisable", "OnDestroy", "OnApplicationPause", "OnApplicationQuit", "OnValidate", "Reset"]
+SLOW_CALLS = ["GameObject.Find", "FindObjectOfType", "FindFirstObjectByType", "Resources.Load", "GetComponent"]
+FRAME_METHODS = ["Update(", "FixedUpdate(", "LateUpdate("]
 
 
 def behaviour_findings(files: DataFrame, most_methods: int = 8, most_fields: int = 20) -> DataFrame:
     """``path, rule, value`` over C# behaviour sources.
 
     Too many callbacks or serialised fields, subscriptions without their
-    removal, editor APIs outside Editor folders, slow calls at or after the
-    first ``Update(``.
+    removal, editor APIs outside Editor folders, lines with slow calls at or
+    after the first frame method (``value`` is the line; one row for each).
     """
     text = F.col("source")
     methods = sum((text.rlike(f"void {m}\\(").cast("int") for m in LIFECYCLE), F.lit(0))
     fields = F.size(F.regexp_extract_all(text, F.lit("(\\[SerializeField\\])"), 1))
-    added, removed = F.size(F.regexp_extract_all(text, F.lit("(\\w \\+= \\w)"), 1)), F.size(F.regexp_extract_all(text, F.lit("(\\w -= \\w)"), 1))
-    at = F.locate("Update(", text)
-    later = F.when(at > 0, F.expr("substring(source, locate('Update(', source), length(source))")).otherwise("")
+    added, removed = F.size(F.split(text, "\\+=", -1)) - 1, F.size(F.split(text, "-=", -1)) - 1
     found = {
         "lifecycle_overload": (methods, methods > most_methods),
         "serialized_field_bloat": (fields, fields > most_fields),
-        "unbalanced_event_subscription": (added - removed, added > removed),
+        "unbalanced_event_subscription": (added, added > removed),
         "editor_api_in_runtime": (F.lit(1), text.contains("UnityEditor") & ~F.col("path").rlike("(^|/)Editor/")),
-        "expensive_frame_call": (at, later.rlike(SLOW_CALLS)),
     }
     rules = F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("bigint").alias("value"), h.alias("hit")) for k, (v, h) in found.items()])
-    return files.where(text.isNotNull()).select("path", F.explode(F.filter(rules, lambda r: r["hit"])).alias("r")).select("path", "r.rule", "r.value")
+    whole = files.where(text.isNotNull()).select("path", F.explode(F.filter(rules, lambda r: r["hit"])).alias("r")).select("path", "r.rule", "r.value")
+    rows = files.where(text.isNotNull()).select("path", X.source_lines(text).alias("ls"))
+    holds = lambda line, words: F.exists(F.array(*map(F.lit, words)), lambda w: line.contains(w))
+    first = F.array_position(F.transform("ls", lambda x: holds(x, FRAME_METHODS)), True)
+    lines = rows.where(first > 0).select("path", first.alias("first"), F.posexplode("ls").alias("at", "line"))
+    slow = lines.where((F.col("at") + 1 >= F.col("first")) & holds(F.col("line"), SLOW_CALLS))
+    return whole.unionByName(slow.select("path", F.lit("expensive_frame_call").alias("rule"), (F.col("at") + 1).cast("bigint").alias("value")))
 
 
 def missing_terms(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:

@@ -152,13 +152,13 @@ def import_heavy_file(spark, sf_dir):
     return facts.imports(_files(spark, sf_dir)).groupBy("file_id").agg(F.count("*").alias("imports")).where("imports > 4")
 
 
-def _module_edges(spark, sf_dir, least: int = 2) -> DataFrame:
+def _module_edges(spark, sf_dir) -> DataFrame:
     """Edges from a file's folder to the first word of what it imports."""
     p = X.normal_path(F.col("display_path"))
     owner = _files(spark, sf_dir).where("display_path IS NOT NULL").select("file_id", F.lower(F.element_at(F.split(X.parent(p), "/"), -1)).alias("src"))
     target = F.lower(F.regexp_extract("module", "^(?:crate::|\\./|\\.\\./)*([A-Za-z0-9]+)", 1))
     used = facts.imports(_files(spark, sf_dir)).select("file_id", target.alias("dst")).where("dst <> ''")
-    return used.join(owner, "file_id").where("src <> dst AND src <> '.'").groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src", "dst")
+    return used.join(owner, "file_id").where("src <> dst AND src <> '.'").select("src", "dst").distinct()
 
 
 _EDGES = f"""
@@ -166,7 +166,7 @@ _EDGES = f"""
 o AS (SELECT file_id, lower(list_extract(string_split(d, '/'), -1)) src FROM (
   SELECT file_id, CASE WHEN d = '' THEN '.' ELSE d END d FROM (SELECT file_id, regexp_replace({_NORMAL.format('display_path')}, '/?[^/]*$', '') d FROM source_files WHERE display_path IS NOT NULL))),
 e AS (SELECT src, dst FROM (SELECT file_id, lower(regexp_extract(module, '^(?:crate::|\\./|\\.\\./)*([A-Za-z0-9]+)', 1)) dst FROM m WHERE module IS NOT NULL)
-  JOIN o USING (file_id) WHERE dst <> '' AND src <> dst AND src <> '.' GROUP BY 1, 2 HAVING count(*) >= 2)
+  JOIN o USING (file_id) WHERE dst <> '' AND src <> dst AND src <> '.' GROUP BY 1, 2)
 """
 
 
@@ -485,8 +485,8 @@ def parallel_implementation(spark, sf_dir):
 WITH p AS (SELECT run_id, {_NORMAL.format('display_path')} p FROM source_files WHERE display_path IS NOT NULL)
 SELECT CASE WHEN regexp_matches(lower(regexp_extract(p, '\\.([^./]+)$', 1)), '^(js|mjs)$') THEN 'javascript' WHEN regexp_matches(p, '\\.ts$') THEN 'typescript' WHEN regexp_matches(p, '\\.py$') THEN 'python'
   WHEN regexp_matches(p, '\\.rs$') THEN 'rust' WHEN regexp_matches(p, '\\.cs$') THEN 'csharp' WHEN regexp_matches(p, '\\.(sh|bash)$') THEN 'bash' ELSE regexp_extract(p, '\\.([^./]+)$', 1) END AS "language",
-  count(*) AS files, count(*) FILTER (list_has_any(string_split(lower(regexp_replace(p, '/?[^/]*$', '')), '/'), ['test', 'tests', '__tests__', 'spec', 'specs', 'testing'])
-    OR regexp_matches(lower(regexp_extract(p, '([^/]*)$', 1)), '^test_|_test\\.|\\.test\\.|\\.spec\\.|^conftest\\.py$')) AS tests FROM p GROUP BY 1
+  count(*) AS files, count(*) FILTER (len(list_filter(string_split(lower(p), '/'), lambda x: x IN ('test', 'tests', '__tests__', 'spec', 'specs', 'editmode', 'playmode') OR suffix(x, '_tests') OR suffix(x, '-tests'))) > 0
+    OR regexp_matches(regexp_extract(p, '([^/]*)$', 1), '^tests[.]rs$|^test_|[.]test[.]|[.]spec[.]|_test[.](go|py|rs)$|_tests[.]rs$')) AS tests FROM p GROUP BY 1
 """)
 def language_inventory(spark, sf_dir):
     p = X.normal_path(F.col("display_path"))
@@ -551,15 +551,16 @@ def clone_groups(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT {_NORMAL.format('display_path')} p FROM source_files WHERE display_path IS NOT NULL),
-s AS (SELECT split_part(p, '/', 1) AS folder, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\\.[^.]*$', '') s FROM p),
-w AS (SELECT folder, unnest(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) x FROM s),
-t AS (SELECT folder, CASE WHEN length(x) > 4 AND suffix(x, 'ies') THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 4 AND suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END AS word FROM w)
-SELECT folder, count(DISTINCT word) AS concepts FROM t WHERE length(word) > 2 GROUP BY 1 HAVING count(DISTINCT word) > 40
+WITH p AS (SELECT repo_id, {_NORMAL.format('display_path')} p FROM source_files WHERE display_path IS NOT NULL),
+s AS (SELECT repo_id, regexp_replace(p, '/?[^/]*$', '') d, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\\.[^.]*$', '') s FROM p),
+w AS (SELECT repo_id, CASE WHEN d = '' THEN '.' ELSE d END AS folder,
+  unnest(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[_.-]', ' ', 'g'), '([^ ])([A-Z])', '\\1 \\2', 'g'), '([^ ])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9 ]', '', 'g')), ' ')) AS word FROM s)
+SELECT repo_id, folder, count(DISTINCT word) AS concepts FROM w WHERE length(word) > 2 AND word NOT IN ('mod', 'lib', 'main', 'test') GROUP BY 1, 2 HAVING count(DISTINCT word) > 4
 """)
 def directory_drift(spark, sf_dir):
-    top = F.concat_ws("/", F.split(X.normal_path(F.col("display_path")), "/")[0], X.file_name(X.normal_path(F.col("display_path"))))
-    return projects.folder_concepts(_files(spark, sf_dir).where("display_path IS NOT NULL").select(top.alias("path")))
+    """At the least limit the rule accepts, as folders here are small."""
+    rows = _files(spark, sf_dir).where("display_path IS NOT NULL").select("repo_id", X.normal_path(F.col("display_path")).alias("path"))
+    return projects.folder_concepts(rows, 4, ["repo_id"])
 
 
 @query("""
@@ -592,7 +593,7 @@ def similar_functions(spark, sf_dir):
 
     Order is that of the first function with a stream (file, line).
     """
-    f = functions.function_facts(_files(spark, sf_dir).where("NOT is_test"), streams=True)
+    f = functions.function_facts(_files(spark, sf_dir).where("NOT coalesce(is_test, false)"), streams=True)
     pairs = similarity.similar_streams(f, 0.85, 80)
     place = f.where("tokens >= 80").groupBy("digest").agg(F.min(F.col("file_id") * 1_000_000 + F.col("line")).alias("ord"), F.count("*").alias("functions"))
     named = pairs.join(place.select(F.col("digest").alias("a"), F.col("ord").alias("x")), "a").join(place.select(F.col("digest").alias("b"), F.col("ord").alias("y")), "b")

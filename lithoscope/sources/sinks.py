@@ -6,7 +6,6 @@ forms are for gated, human-sized reports and stream rows to the driver.
 
 from __future__ import annotations
 
-import html
 import json
 import os
 from collections.abc import Iterator
@@ -74,7 +73,7 @@ def write_text(report: DataFrame, path: str) -> None:
         n = 0
         for r in _rows(report):
             n += 1
-            yield f"{r['issue_id']} {r['family']} {html.unescape(r['path'] or '')} ({len(r['evidence'])})\n"
+            yield f"{r['issue_id']} {r['family']} {r['path'] or ''} ({len(r['evidence'])})\n"
         yield f"{n} issues\n"
 
     _atomic(path, chunks())
