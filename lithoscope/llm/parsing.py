@@ -3,6 +3,9 @@
 Each language has a lexer, which turns a source into a string of terminals, and
 a bundled grammar, run by the table-driven recogniser of :mod:`.glr`. The
 whole token string is parsed; the first token no reading admits is the error.
+Code inside a token (fields of f-strings and of interpolated strings, template
+expressions, command substitutions, shell arithmetic) is parsed by the same
+grammars, and its token is the error if it doesn't parse.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ LANGUAGES = {
     "java": "java", "cs": "csharp", "sh": "bash", "bash": "bash",
 }
 ERROR = "\x01"
+#: first of the characters that stand for widths of indentation
+INDENTS = 0xF0000
 _NAME = r"[^\W\d]\w*"
 _STRING = r'"(?:[^"\\\n]|\\[^\n]|\\\n)*"'
 _QUOTED = _STRING.replace('"', "'")
@@ -107,6 +112,9 @@ class Language:
     def quoted(self, token: str) -> str:
         return self.t["STR"]
 
+    def parses(self, source: str) -> bool:
+        return self.error_at(source) is None
+
     def prepare(self, source: str) -> str:
         return source.replace("\r\n", "\n").lstrip("﻿")
 
@@ -138,6 +146,29 @@ class Language:
         return min(low + 1, len(lines))
 
 
+_SKIP = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`|[()\[\]{}:,!=]|[^\"'`()\[\]{}:,!=]+|[\s\S]")
+
+
+def field_end(text: str, at: int, stops: str = "") -> tuple[int, int]:
+    """(stop, end) of a braced field that begins at ``at``, past its brace.
+
+    ``end`` is the place of its closing brace, -1 without one; ``stop`` that of
+    the first outer character of ``stops`` (a conversion's ``!``, but not ``!=``), else ``end``.
+    """
+    depth, stop = 0, -1
+    for m in _SKIP.finditer(text, at):
+        c = m.group()
+        if c in ("(", "[", "{"):
+            depth += 1
+        elif c == "}" and depth <= 0:
+            return (m.start() if stop < 0 else stop), m.start()
+        elif c in (")", "]", "}"):
+            depth -= 1
+        elif not depth and stop < 0 and c in stops and not (c == "!" and text[m.end() : m.end() + 1] == "="):
+            stop = m.start()
+    return stop, -1
+
+
 class Python(Language):
     grammar = "python"
     between = r"(?:[ \t\f\r]+|\\\n)*"
@@ -159,25 +190,75 @@ class Python(Language):
         super().__init__()
         t = self.t
         self.delta: dict[str, int] = {}
+        #: widths of indentation, each a character from INDENTS on
+        self.widths: dict[int, int] = {}
+        self.columns: list[int] = []
+        # a number, string or constant at the start of a statement takes no value
+        begin, value = "".join(re.escape(t[w]) for w in ("NEWLINE", "INDENT", "DEDENT", ";")), "".join(re.escape(t[w]) for w in ("NUM", "STR", "CONST"))
+        self.valued = re.compile(f"(?:(?<=[{begin}])|^)([{value}]){re.escape(t['='])}").sub
         self.opens, self.closes = (t["("], t["["], t["{"]), (t[")"], t["]"], t["}"])
 
     def classify(self, token: str) -> str:
         if "\n" in token and token[0] in " \t\f#\n":
-            tail = token[token.rindex("\n") + 1 :].expandtabs(8)
-            return NEWLINE + chr(0x4000 + min(len(tail), 4000))
+            width = len(token[token.rindex("\n") + 1 :].expandtabs(8))
+            if width not in self.widths:
+                self.widths[width] = len(self.columns)
+                self.columns.append(width)
+            return NEWLINE + chr(INDENTS + self.widths[width])
         if token[:1] == "#":
             return ""
         if token[-1:] in "\"'" and len(token) > 1:
-            return self.t["STR"]
+            return self.t["STR"] if self.fields_parse(token) else ERROR
         if token == "|":
             return self.t["|"]
         return super().classify(token)
 
+    def fields_parse(self, token: str) -> bool:
+        """Whether all fields of an f-string hold an expression."""
+        prefix = token[: re.search(r"[\"']", token).start()].lower()
+        if "f" not in prefix or "{" not in token and "}" not in token:
+            return True
+        quotes = 3 if token[len(prefix) : len(prefix) + 3] in ('"' * 3, "'" * 3) else 1
+        return self.formats(token[len(prefix) + quotes : -quotes], "r" in prefix)
+
+    def formats(self, body: str, raw: bool, nested: bool = False) -> bool:
+        at = 0
+        while (m := re.compile(r"\\N\{[^}]*\}|[{}]").search(body, at)) is not None:
+            at = m.end()
+            if m.group()[0] == "\\" and not raw:
+                continue
+            place = m.start() if m.group()[0] != "\\" else m.start() + 2
+            at = place + 1
+            if not nested and body[place : place + 2] in ("{{", "}}"):
+                at = place + 2
+                continue
+            if body[place] == "}":
+                return False
+            stop, end = field_end(body, at, "!:")
+            if end < 0:
+                return False
+            code = body[at:stop].strip()
+            if code.endswith("=") and code[-2:-1] not in ("=", "!", "<", ">"):
+                code = code[:-1]
+            rest = body[stop:end]
+            if rest.startswith("!"):
+                kind = re.match(r"![ \t]*\w+[ \t]*", rest)
+                if not kind:
+                    return False
+                rest = rest[kind.end() :]
+            if not code or not self.parses(f"({code}\n)\n") or rest and (rest[0] != ":" or not self.formats(rest[1:], raw, True)):
+                return False
+            at = end + 1
+        return True
+
     def terminals(self, source: str) -> str:
+        if len(self.columns) > 60_000:  # widths of other files
+            self.widths, self.columns = {}, []
+            self.map.clear()
         # a marker of its own before the first line gives its indentation
-        parts = re.split(r"\n([䀀-侠])", "".join(map(self.map.__getitem__, self.find("\n" + source))))
-        t = self.t
-        out, stack, depth, fresh = [], [0], 0, False
+        parts = re.split(f"\n([{chr(INDENTS)}-{chr(0x10FFFF)}])", "".join(map(self.map.__getitem__, self.find("\n" + source))))
+        t, columns = self.t, self.columns
+        out, stack, depth = [], [0], 0
         for i in range(1, len(parts), 2):
             line = parts[i + 1]
             if not line:
@@ -185,7 +266,7 @@ class Python(Language):
             if depth <= 0:
                 if out:
                     out.append(t["NEWLINE"])
-                column = ord(parts[i]) - 0x4000
+                column = columns[ord(parts[i]) - INDENTS]
                 if column > stack[-1]:
                     stack.append(column)
                     out.append(t["INDENT"])
@@ -205,7 +286,7 @@ class Python(Language):
         if out:
             out.append(t["NEWLINE"])
             out += [t["DEDENT"]] * (len(stack) - 1)
-        return "".join(out)
+        return self.valued(lambda m: m.group(1) + ERROR, "".join(out))
 
 
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`)*\})*`"
@@ -239,7 +320,17 @@ class JavaScript(Language):
         return super().classify(token)
 
     def quoted(self, token: str) -> str:
-        return self.t["TMPL" if token[0] == "`" else "STR"]
+        if token[0] != "`":
+            return self.t["STR"]
+        at = 0
+        while (m := re.compile(r"\\[\s\S]|\$\{").search(token, at)) is not None:
+            at = m.end()
+            if m.group() == "${":
+                stop, end = field_end(token, at)
+                if end < 0 or not self.parses(f"({token[at:end]}\n);"):
+                    return ERROR
+                at = end + 1
+        return self.t["TMPL"]
 
     def prepare(self, source: str) -> str:
         source = super().prepare(source)
@@ -325,11 +416,23 @@ class CSharp(Language):
 
     def classify(self, token: str) -> str:
         if token[0:1] in "$@" and token.endswith('"'):
-            return self.t["STR"]
+            return self.t["STR"] if '"""' in token or "$" not in token[:2] or self.fields_parse(token) else ERROR
         if token[0:1] == "@" and len(token) > 1:
             return self.t["ID"]
         return super().classify(token)
 
+    def fields_parse(self, token: str) -> bool:
+        """Whether all fields of an interpolated string hold an expression."""
+        body, at = token[token.index('"') + 1 : -1], 0
+        while (m := re.compile(r"\{\{|\}\}|\{").search(body, at)) is not None:
+            at = m.end()
+            if m.group() == "{":
+                stop, end = field_end(body, at, ",:")
+                if end < 0 or not self.parses("class C { object f = (" + body[at:stop] + "\n); }"):
+                    return False
+                at = end + 1
+        return True
+
     def quoted(self, token: str) -> str:
         return self.t["CHAR" if token[0] == "'" else "STR"]
 
@@ -416,7 +519,9 @@ class Bash(Language):
         if token in (";;", ";&", ";;&"):
             return t["CASEEND"]
         if token.startswith("((") and token.endswith("))"):
-            return t["ARITH"]
+            return t["ARITH"] if self.counts(token[2:-2]) else ERROR
+        if ("$(" in token or "`" in token) and len(token) > 2 and not self.inner_parse(token):
+            return ERROR
         if re.fullmatch(r"\d*<<-?", token):
             return t["HEREDOC0"]
         if re.match(r"\d*[<>]|&>", token):
@@ -427,6 +532,34 @@ class Bash(Language):
             return ERROR
         return t["WORD"]
 
+    _inner = regex.compile(_define + r"\\[\s\S]|\$'(?:[^'\\]|\\[\s\S])*+'|(?P<a>\$\(\((?:[^()]|(?&par))*+\)\))|(?P<c>\$(?&par))|(?P<b>(?&bq))|(?P<q>')|(?P<d>\")")
+    _values = regex.compile(_define + r"(?&sub)|(?&bq)|(?&dq)|(?&sq)|\$[\w#?*@!$-]|\d+\#[\w@]+")
+
+    def inner_parse(self, token: str) -> bool:
+        """Whether the commands and sums that a word substitutes parse."""
+        quoted, at = False, 0
+        while (m := self._inner.search(token, at)) is not None:
+            at = m.end()
+            if m.group("d"):
+                quoted = not quoted
+            elif m.group("q"):
+                end = token.find("'", at)
+                at = at if quoted or end < 0 else end + 1
+            elif m.group("a"):
+                if not self.counts(m.group("a")[3:-2]) and not self.parses(m.group("a")[2:-1]):
+                    return False
+            elif m.group("c"):
+                if not self.parses(m.group("c")[2:-1]):
+                    return False
+            elif m.group("b") and not self.parses(re.sub(r"\\([`\\$])", r"\1", m.group("b")[1:-1])):
+                return False
+        return True
+
+    def counts(self, text: str) -> bool:
+        """Whether a sum parses; its operators are those of JavaScript."""
+        plain = re.sub(r"[A-Za-z_]\w*", "v", self._values.sub("1", text.replace("\\\n", " ")))
+        return all(not part.strip() or language("javascript").parses(f"v = ({part});") for part in plain.split(";"))
+
     def terminals(self, source: str) -> str:
         out = "".join(self.map[m.group("t")] for m in self._lex.finditer(source))
         # runs of newlines are one

@@ -31,6 +31,9 @@ FAN = 8
 #: rows of one key in one partition after the map-side stage are at most this
 #: many buffers for each level, so a salted stage bounds what one task merges
 SALTS = 16
+#: map tasks whose buffers of one key a single task may merge; beyond it a salted
+#: stage, as wide as the root of their number, comes before the last one
+UNSALTED_TASKS = 64
 #: groups of a map task that are held at once; beyond it they are emitted
 FLUSH_VALUES = 1_500_000
 
@@ -132,7 +135,8 @@ def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Null and NaN values are not counted; a group without values has no row.
     Null keys are a group of their own. Repeated rows count as often as they
-    come. The map-side stage holds bounded buffers only.
+    come. The map-side stage holds bounded buffers only; those of a hot key are
+    spread by salt where many map tasks send some.
     """
     ship_package(df.sparkSession)
     kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
@@ -157,15 +161,17 @@ def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             yield _emit(held, keys, kinds)
 
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    return combine(rows.mapInPandas(leaf, _schema(df, keys, SUMMARY)), keys, local=False)
+    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    width = max(SALTS, int(tasks**0.5)) if tasks > UNSALTED_TASKS else 0
+    return combine(rows.mapInPandas(leaf, _schema(df, keys, SUMMARY)), keys, local=False, salted=width)
 
 
-def combine(summaries: DataFrame, keys: list[str], local: bool = True, salted: bool = False) -> DataFrame:
+def combine(summaries: DataFrame, keys: list[str], local: bool = True, salted: int = 0) -> DataFrame:
     """One summary for each combination of ``keys``.
 
     ``local`` first merges within partitions, so that of one key every
     partition sends a bounded number of buffers; ``salted`` adds a stage that
-    spreads hot keys over ``SALTS`` tasks before the last one.
+    spreads hot keys over so many tasks before the last one.
     """
     kinds = {k: summaries.schema[k].dataType.simpleString() for k in keys}
     schema = _schema(summaries, keys, SUMMARY)
@@ -190,7 +196,7 @@ def combine(summaries: DataFrame, keys: list[str], local: bool = True, salted: b
     if local:
         out = out.mapInPandas(merge, schema)
     if salted:
-        out = out.withColumn("__salt", F.pmod(F.xxhash64("buffer"), F.lit(SALTS))).repartition(*keys, "__salt").drop("__salt")
+        out = out.withColumn("__salt", F.pmod(F.xxhash64("buffer"), F.lit(salted))).repartition(*keys, "__salt").drop("__salt")
         out = out.mapInPandas(merge, schema)
     sorted_input = True
     # the content breaks ties, so equal inputs merge in one order

@@ -48,6 +48,36 @@ def test_broken(name, source):
     assert 1 <= language(name).error_line(source, at) <= source.count("\n") + 1
 
 
+INSIDE_BAD = {
+    "python": ['f"{a +}"', "f'{for}'", 'x = f"{}"', 'x = f"a } b"', 'f"{a!}"', 'f"{x:{y +}}"', 'f"""{\na b}"""', "1 = x", "if a:\n" + " " * 4001 + "x = 1\n" + " " * 4002 + "y = 1\n"],
+    "javascript": ["let x = `${a +}`;", "`${a b}`;", "`${}`;", "`${`${a +}`}`"],
+    "typescript": ["const y: string = `${a +}`;"],
+    "bash": ["x=$(if true; then echo a)", "((x = 1 +))", 'echo "$(for i in; do)"', "x=`if`", 'echo "a $(echo "$(if)")"'],
+    "csharp": ['class A { string s = $"{a +}"; }', 'class A { string s = $@"{a b}"; }'],
+}
+INSIDE_GOOD = {
+    "python": ['f"{a}"', "f'{a!r:>{w}} {{x}} {b=}'", 'f"{x != y}"', 'f"{(lambda x: 1)(2)}"', 'f"{a if b else c:>10}"', 'rf"\\d{n}"', 'f"\\N{BULLET} {a}"', 'f"{x:=^20}"', 'f"""{\n a\n}"""', "a[0] = 1",
+               'f"{ {1:2}[1] }"', "f'{x,}'", 'f"{a[b:c]}"', 'f"{x:{a}.{b}}"', "if a:\n" + " " * 4001 + "x = 1\n" + " " * 4001 + "y = 1\n"],
+    "javascript": ['let x = `a ${b} ${c ? `x${d}` : "}"}`;', "`\\${a`;", "`${f({a:1})}`;", "`${a, b}`;", "`${x => ({y: x})}`;"],
+    "typescript": ["const y = `${a as string}`;"],
+    "bash": ["x=$(if true; then echo a; fi)", "((x = 1 + y[2], z++))", "for ((i=0; i<10; i++)); do echo $i; done", "echo $((1 + ${x:-3} * $y ** 2 - 16#ff))", "x=`echo \\`date\\``", "echo '$(if'",
+             "echo \"it's $(date)\"", "x=$(( (a+b) ? c : d ))", "y=$( (cd a; ls) )", "((!in && new))", 'echo "${a:-$(b "c")}"', "x=$(# note\n ls)", "[[ $(( $# % 2 )) -eq 0 ]] && ls", "echo $(<file)"],
+    "csharp": ['class A { string s = $"{a} {b,10:F2} {{x}} {c:yyyy-MM}"; }', 'class A { string s = $"{(a ? b : c)} {d["k"]}"; }', 'class A { string s = $@"{a}""x"; }'],
+}
+
+
+@pytest.mark.parametrize("name,source", [(n, s) for n, ss in INSIDE_BAD.items() for s in ss])
+def test_broken_inside_tokens(name, source):
+    assert language(name).error_at(source) is not None
+
+
+@pytest.mark.parametrize("name,source", [(n, s) for n, ss in INSIDE_GOOD.items() for s in ss])
+def test_whole_inside_tokens(name, source):
+    assert language(name).error_at(source) is None
+    if name == "python":
+        ast.parse(source)
+
+
 def test_memo_has_no_say():
     """The same text gives the same outcome before and after others."""
     p = language("javascript")

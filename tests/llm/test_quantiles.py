@@ -41,7 +41,7 @@ def test_operator(spark):
     days = Q.summarise(df, ["g"], "v")
     got = {r.g: (r.n, r.p50, r.rank_error) for r in Q.percentiles(days, ["g"], SHARES).collect()}
     assert got == {k: (101, 50.0, 0.0) for k in ("a", "b", None)}
-    whole = Q.combine(days.withColumn("all", F.lit("x")), ["all"], salted=True)
+    whole = Q.combine(days.withColumn("all", F.lit("x")), ["all"], salted=4)
     r = Q.percentiles(whole, ["all"], SHARES).first()
     assert (r.n, r.p50) == (303, 50.0)
     assert Q.percentiles(Q.summarise(df.limit(0), ["g"], "v"), ["g"], SHARES).count() == 0
@@ -53,6 +53,19 @@ def test_hot_group(spark):
         assert abs(r.p50 / 400_000 - 0.5) < 0.005 and 0 < r.rank_error < 0.005
 
 
+def test_hot_key_of_many_tasks(spark, monkeypatch):
+    """Two million values of one key from many tasks go through a salted stage."""
+    monkeypatch.setattr(Q, "UNSALTED_TASKS", 8)
+    n = 2_000_000
+    df = spark.range(0, n, 1, 12).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % n).alias("v"))
+    days = Q.summarise(df, ["g"], "v")
+    assert "pmod" in days._jdf.queryExecution().toString()
+    r = Q.percentiles(days, ["g"], SHARES).first()
+    assert r.n == n and 0 < r.rank_error < 0.005
+    for name, share in SHARES.items():
+        assert abs(r[name] / n - share) <= r.rank_error
+
+
 def test_groupings_with_day(spark, monkeypatch):
     rows = [(f, r, d, "loc", v) for f in ("a", None) for r in (1, 2) for d in ("x", "y") for v in (1, 2, 3)]
     kinds = "family string, repo_id bigint, day string, metric string, value bigint"
