@@ -29,6 +29,7 @@ Very long texts are hashed in overlapping pieces of ``PIECE`` code points.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -166,7 +167,8 @@ def sketch(files: DataFrame, bits: int) -> bytes:
     """Saturating counters of all partitions, merged, as packed bits.
 
     A partition sends two bitmaps for each row (met once, met twice), which
-    tree-merge: twice = twice | twice | (once & once).
+    tree-merge: twice = twice | twice | (once & once). They are sent compressed,
+    in a size that follows the windows met and not the sketch.
     """
     size = 1 << bits
 
@@ -185,7 +187,7 @@ def sketch(files: DataFrame, bits: int) -> bytes:
             for part in range(8):
                 cut = slice(part * size // 8, (part + 1) * size // 8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r * 8 + part], pa.int32()), pa.array([np.packbits(once[r, cut]).tobytes()]), pa.array([np.packbits(twice[r, cut]).tobytes()])],
+                    [pa.array([r * 8 + part], pa.int32()), pa.array([_packed(np.packbits(once[r, cut]))]), pa.array([_packed(np.packbits(twice[r, cut]))])],
                     names=["part", "once", "twice"],
                 )
 
@@ -193,29 +195,33 @@ def sketch(files: DataFrame, bits: int) -> bytes:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                a, b = np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)
                 if p in held:
                     x, y = held[p]
                     held[p] = [x | a, y | b | (x & a)]
                 else:
                     held[p] = [a.copy(), b.copy()]
         for p, (a, b) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["part", "once", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_packed(a)]), pa.array([_packed(b)])], names=["part", "once", "twice"])
 
     kind = "part int, once binary, twice binary"
     rows = spread(files)
     # a salted stage as wide as the root of the number of tasks bounds what one task merges
-    width = max(16, int(rows._jdf.queryExecution().toRdd().getNumPartitions() ** 0.5))
+    width = int(rows._jdf.queryExecution().toRdd().getNumPartitions() ** 0.5) + 1
     parts = rows.mapInArrow(fill, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(width)))
     parts = parts.repartition("part", "salt").select("part", "once", "twice").mapInArrow(merge, kind)
     rows = parts.repartition("part").mapInArrow(merge, kind).select("part", "twice").collect()
     out = bytearray(ROWS * size // 8)
     step = size // 64
     for r in rows:
-        out[r["part"] * step : (r["part"] + 1) * step] = r["twice"]
+        out[r["part"] * step : (r["part"] + 1) * step] = zlib.decompress(r["twice"])
     return bytes(out)
 
 
+def _packed(bits: np.ndarray) -> bytes:
+    return zlib.compress(bits.tobytes(), 1)
+
+
 def _estimated_repeated(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     keep = np.ones(len(h), bool)
     for r, c in enumerate(_cells(h, bits)):
