@@ -157,10 +157,11 @@ def sketch_bits(files: DataFrame) -> int:
     Text takes about a quarter of its length there, and one in 75 windows is
     kept. Without a known size, as for rows made in memory, 22.
     """
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = files._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if size >= 1 << 60:
         return 22
-    return min(max((size * 4 // 75 * 2).bit_length(), LEAST_BITS), MOST_BITS)
+    return min(max((size * 4 // 75).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def sketch(files: DataFrame, bits: int) -> bytes:
