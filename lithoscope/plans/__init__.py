@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import facts, issues
 from ..session import read_table
-from . import codebase, snapshots
+from . import codebase, rules, snapshots
 
-_MODULES = [snapshots, codebase]
+_MODULES = [snapshots, codebase, rules]
 
 
 def queries() -> dict:
