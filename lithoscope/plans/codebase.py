@@ -249,10 +249,16 @@ def dependency_cycle(spark, sf_dir):
     return c.join(c.groupBy("component").agg(F.min("node").alias("m")), "component").select("node", F.col("m").alias("component"))
 
 
-@query()
+@query(_CLOSURE + """, c AS (SELECT a.node, min(least(a.reached, a.node)) AS component FROM r a JOIN r b ON a.node = b.reached AND a.reached = b.node WHERE a.node <> a.reached GROUP BY 1),
+g AS (SELECT DISTINCT coalesce(x.component, src) AS src, coalesce(y.component, dst) AS dst FROM e LEFT JOIN c x ON x.node = src LEFT JOIN c y ON y.node = dst),
+d AS (SELECT src, dst FROM g WHERE src <> dst), p AS (SELECT src, dst, 1 AS n FROM d UNION SELECT p.src, d.dst, n + 1 FROM p JOIN d ON d.src = p.dst),
+k AS (SELECT src AS component FROM d UNION SELECT dst FROM d)
+SELECT component, CAST(coalesce(max(n), 0) AS BIGINT) AS depth FROM k LEFT JOIN p ON p.src = component GROUP BY 1""")
 def dependency_depth(spark, sf_dir):
     e = _module_edges(spark, sf_dir)
-    return graph.depth(e, graph.components(e))
+    c = graph.components(e)
+    named = c.join(c.groupBy("component").agg(F.min("node").alias("m")), "component").select("node", F.col("m").alias("component"))
+    return graph.depth(e, named)
 
 
 @query(f"""
