@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, spread
@@ -382,6 +382,16 @@ def train(files: DataFrame, id_col: str = "file_id", path: str = "display_path",
     return Models(*(weights[k] for k in NAMES)), {r["name"]: r["value"] for r in got if r["weights"] is None}
 
 
+def save(spark: SparkSession, models: Models, folder: str) -> None:
+    """Write fitted models, to classify other files without training."""
+    spark.createDataFrame([(k, getattr(models, k).astype(np.float32).tobytes()) for k in NAMES], "name string, weights binary").write.parquet(folder)
+
+
+def load(spark: SparkSession, folder: str) -> Models:
+    weights = {r["name"]: np.frombuffer(r["weights"], np.float32) for r in spark.read.parquet(folder).collect()}  # 0.5 MB, fixed
+    return Models(*(weights[k] for k in NAMES))
+
+
 def classify(files: DataFrame, models: Models, id_col: str = "file_id", path: str = "display_path", text: str = "source") -> DataFrame:
     """``file_id, made, copied`` margins and ``reason``, null if hand-written.
 

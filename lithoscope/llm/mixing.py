@@ -36,10 +36,11 @@ def text_units(docs: DataFrame, targets: DataFrame, name: str, folder: str) -> D
     """
     known = targets.where(F.col("source").isNotNull()).select("source").distinct()
     counted = encode_texts(
-        docs.where(F.col("source").isNotNull() & (F.length("text") > 0)).withColumn("__digest", F.md5("text")),
+        # only sources with a target are tokenised
+        docs.where(F.col("source").isNotNull() & (F.length("text") > 0)).join(known, "source", "left_semi").withColumn("__digest", F.md5("text")),
         ["source", "doc_id", "__digest"], "text", name, folder, lengths_only=True,
     )
-    held = counted.join(known, "source").groupBy("__digest", "source").agg(
+    held = counted.groupBy("__digest", "source").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("m"), F.max("tokens").alias("tokens")
     )
     return (

@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, spread
@@ -578,16 +578,33 @@ def fit(rows: DataFrame) -> tuple[CRF, list[str]]:
         held = [p for p in parts if len(p)]
         if held:
             data = pd.concat(held).sort_values(["doc_id", "text"], kind="stable")
-            crf, words = train_model(list(zip(data["text"].tolist(), data["label"].astype(int).tolist())))
-            yield pd.DataFrame({"w": [crf.w.astype(np.float32).tobytes()], "trans": [crf.trans.ravel().tolist()], "start": [crf.start.tolist()], "words": [words]})
+            yield pd.DataFrame([_row(train_model(list(zip(data["text"].tolist(), data["label"].astype(int).tolist()))))])
 
-    got = rows.repartition(1).mapInPandas(run, "w binary, trans array<double>, start array<double>, words array<string>").collect()  # 3 MB, fixed
-    if not got:
-        return train_model([])
-    r = got[0]
+    got = rows.repartition(1).mapInPandas(run, _MODEL).collect()  # 3 MB, fixed
+    return _model(got[0]) if got else train_model([])
+
+
+_MODEL = "w binary, trans array<double>, start array<double>, words array<string>"
+
+
+def _row(model: tuple[CRF, list[str]]) -> dict:
+    crf, words = model
+    return {"w": crf.w.astype(np.float32).tobytes(), "trans": crf.trans.ravel().tolist(), "start": crf.start.tolist(), "words": words}
+
+
+def _model(r: dict) -> tuple[CRF, list[str]]:
     return CRF(np.frombuffer(r["w"], np.float32).reshape(len(OFFSETS) + 1, DIM), np.array(r["trans"]).reshape(2, 2), np.array(r["start"])), list(r["words"])
 
 
+def save(spark: SparkSession, model: tuple[CRF, list[str]], folder: str) -> None:
+    """Write a fitted model, to score other documents without training."""
+    spark.createDataFrame([_row(model)], _MODEL).write.parquet(folder)
+
+
+def load(spark: SparkSession, folder: str) -> tuple[CRF, list[str]]:
+    return _model(spark.read.parquet(folder).first().asDict())  # 3 MB, fixed
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[CRF, list[str]]:
     """Fit on the bounded sample of documents."""
     return fit(training_rows(docs, document_labels(labels)))

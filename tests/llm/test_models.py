@@ -11,7 +11,7 @@ def hand(i, rng):
     return "".join(f"def f{i}_{k}(a, b):\n    total = helper_{rng.integers(99)}(a, {k})\n    if total > b:\n        return total\n    return b\n\n" for k in range(8))
 
 
-def test_classifiers_and_operator(spark):
+def test_classifiers_and_operator(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = []
     for i in range(120):
@@ -29,6 +29,8 @@ def test_classifiers_and_operator(spark):
     got = {r.file_id: r.reason for r in H.classify(df, models).collect()}
     assert all(got[i] is None for i in range(120)) and all(got[i] for i in range(200, 240)) and sum(got[i] is not None for i in range(300, 330)) >= 28
     assert got[400] == "copied" and [got[i] for i in (401, 402, 403, 404)] == [None] * 4
+    H.save(spark, models, str(tmp_path / "models"))
+    assert {r.file_id: r.reason for r in H.classify(df, H.load(spark, str(tmp_path / "models"))).collect()} == got
     empty = df.limit(0)
     assert H.classify(empty, H.train(empty)[0]).count() == 0
 
@@ -113,7 +115,7 @@ def _labelled(n):
     return docs, labels
 
 
-def test_toxicity(spark):
+def test_toxicity(spark, tmp_path):
     docs, labels = _labelled(240)
     docs += [(900, None, "s", 0.5), (901, "", None, 0.5), (902, " \n", "s", 0.5), (903, "Nobody wants you here, you pathetic m​oron!", "s", 0.5), (904, "the daemon dies when its parent is killed " * 400, "s", 0.5), (905, "Nobody wants you here, you pathetic m*r*n!", None, 0.5)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, score double")
@@ -123,6 +125,9 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in X.score_documents(d, model, ["doc_id", "source"]).collect()}
     assert {i for i, r in got.items() if r.score >= X.THRESHOLD} == set(range(0, 240, 8)) | {903, 905}
     assert [got[i].score for i in (900, 901, 902)] == [0.0] * 3
+    X.save(spark, model, str(tmp_path / "model"))
+    again = {r.doc_id: r.score for r in X.score_documents(d, X.load(spark, str(tmp_path / "model")), ["doc_id"]).collect()}
+    assert again == {i: r.score for i, r in got.items()}
     text = docs[0][1]
     p = got[0].passages[0]
     assert "you worthless idiot" in text[p.begin : p.end] and "rows" not in text[p.begin : p.end]
