@@ -73,12 +73,8 @@ def data_clumps(functions: DataFrame, least: int, names_least: int = 3) -> DataF
 
 
 def identifiers(files: DataFrame) -> DataFrame:
-    """``file_id, name, uses``: identifiers of each file, counted."""
-    return (
-        files.select("file_id", F.explode(F.regexp_extract_all("source", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name"))
-        .groupBy("file_id", "name")
-        .agg(F.count("*").alias("uses"))
-    )
+    """``name, uses``: identifiers of all files, counted in one map-side aggregation."""
+    return files.select(F.explode(F.regexp_extract_all("source", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name")).groupBy("name").agg(F.count("*").alias("uses"))
 
 
 def unused_functions(files: DataFrame) -> DataFrame:
@@ -88,8 +84,7 @@ def unused_functions(files: DataFrame) -> DataFrame:
     """
     defs = definitions(files).where(~F.col("name").isin("main", "init", "setup", "teardown") & ~F.col("name").rlike("^(test_|Test|__)"))
     heads = defs.groupBy("name").agg(F.count("*").alias("heads"))
-    uses = identifiers(files).groupBy("name").agg(F.sum("uses").alias("uses"))
-    spare = heads.join(uses, "name").where("uses <= heads").select("name")
+    spare = heads.join(identifiers(files), "name").where("uses <= heads").select("name")
     return defs.join(spare, "name").select("file_id", "line", "name")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import drift, graph, imports
+from ..operators import drift, graph, imports, metrics
 from ..session import read_table, written
 from .codebase import _LINES, _NORMAL
 
@@ -166,3 +166,32 @@ def file_dependency_cycle(spark, sf_dir):
 def file_dependency_degrees(spark, sf_dir):
     e = _edges(spark, sf_dir)
     return graph.degrees(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), e)
+
+
+def _per_preset(column: str) -> str:
+    return " ".join(f"WHEN '{k}' THEN {v[column]}" for k, v in metrics.PRESETS.items())
+
+
+_PRESET_VALUES = ", ".join(f"('{k}')" for k in metrics.PRESETS)
+
+
+@query(f"""
+WITH p AS (SELECT * FROM (VALUES {_PRESET_VALUES}) v(preset)),
+f AS (SELECT 'large_file' AS rule, len(string_split(source, chr(10))) - CASE WHEN source = '' OR suffix(source, chr(10)) THEN 1 ELSE 0 END AS v FROM source_files WHERE source IS NOT NULL),
+m AS (SELECT 'long_function' AS rule, loc AS v FROM function_metrics UNION ALL SELECT 'complex_function', complexity FROM function_metrics
+  UNION ALL SELECT 'deep_nesting', nesting_depth FROM function_metrics UNION ALL SELECT 'many_parameters', parameter_count FROM function_metrics UNION ALL SELECT * FROM f),
+t AS (SELECT preset, rule, v, CASE rule WHEN 'large_file' THEN CASE preset {_per_preset('file_lines')} END WHEN 'long_function' THEN CASE preset {_per_preset('loc')} END
+  WHEN 'complex_function' THEN CASE preset {_per_preset('complexity')} END WHEN 'deep_nesting' THEN CASE preset {_per_preset('nesting_depth')} END ELSE CASE preset {_per_preset('parameter_count')} END END AS threshold FROM m CROSS JOIN p)
+SELECT preset, rule, CAST(threshold AS BIGINT) AS threshold, count(*) AS findings, max(v)::BIGINT AS largest FROM t WHERE v > threshold GROUP BY 1, 2, 3
+""")
+def findings_by_preset(spark, sf_dir):
+    """How many functions and files exceed the limits of each preset."""
+    rows = read_table(spark, sf_dir, "function_metrics").select(F.explode(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("limit"), F.col(c).alias("v")) for c, rule in metrics.FUNCTION_RULES.items()
+    ])).alias("m")).select("m.*")
+    files = read_table(spark, sf_dir, "source_files").where("source IS NOT NULL").select(F.lit("large_file").alias("rule"), F.lit("file_lines").alias("limit"), X.loc(F.col("source")).alias("v"))
+    # a value meets the limits of three presets, in its own row
+    limits = F.create_map(*[x for k, v in metrics.PRESETS.items() for x in (F.lit(k), F.create_map(*[y for c, n in v.items() for y in (F.lit(c), F.lit(n))]))])
+    each = rows.unionByName(files).select("rule", "limit", "v", F.explode(limits).alias("preset", "limits"))
+    over = each.select("preset", "rule", F.try_element_at("limits", F.col("limit")).cast("bigint").alias("threshold"), "v").where("v > threshold")
+    return over.groupBy("preset", "rule", "threshold").agg(F.count("*").alias("findings"), F.max("v").alias("largest"))

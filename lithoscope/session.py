@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,7 +43,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lithoscope-")) / "lithoscope.zip"
+    folder = tempfile.mkdtemp(prefix="lithoscope-")  # of the driver, from which Spark serves the archive
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "lithoscope.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*")):
             if p.is_file() and "__pycache__" not in p.parts:
