@@ -174,7 +174,7 @@ def sketch(files: DataFrame, bits: int) -> bytes:
     size = 1 << bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros((ROWS, size), bool), np.zeros((ROWS, size), bool)
+        once, twice = np.zeros((ROWS, size >> 3), np.uint8), np.zeros((ROWS, size >> 3), np.uint8)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t is None or len(t) < LEAST:
@@ -182,13 +182,13 @@ def sketch(files: DataFrame, bits: int) -> bytes:
                 h = np.unique(np.concatenate([k[1] for k in kept_contexts(t)]))
                 for r, c in enumerate(_cells(h, bits)):
                     c, n = np.unique(c, return_counts=True)
-                    twice[r, c] |= once[r, c] | (n > 1)
-                    once[r, c] = True
+                    _set(twice[r], c[_get(once[r], c) | (n > 1)])
+                    _set(once[r], c)
         for r in range(ROWS):
             for part in range(8):
-                cut = slice(part * size // 8, (part + 1) * size // 8)
+                cut = slice(part * size // 64, (part + 1) * size // 64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r * 8 + part], pa.int32()), pa.array([_packed(np.packbits(once[r, cut]))]), pa.array([_packed(np.packbits(twice[r, cut]))])],
+                    [pa.array([r * 8 + part], pa.int32()), pa.array([_packed(once[r, cut])]), pa.array([_packed(twice[r, cut])])],
                     names=["part", "once", "twice"],
                 )
 
@@ -219,6 +219,19 @@ def sketch(files: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def _get(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which of the cells are set in a bitmap."""
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _set(bits: np.ndarray, cells: np.ndarray) -> None:
+    """Set cells, which are sorted and distinct."""
+    if len(cells):
+        at = cells >> 3
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        bits[at[first]] |= np.bitwise_or.reduceat((128 >> (cells & 7)).astype(np.uint8), first)
+
+
 def _packed(bits: np.ndarray) -> bytes:
     return zlib.compress(bits.tobytes(), 1)
 
@@ -227,7 +240,7 @@ def _estimated_repeated(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndar
     keep = np.ones(len(h), bool)
     for r, c in enumerate(_cells(h, bits)):
         c += r << bits
-        keep &= (packed[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+        keep &= _get(packed, c)
     return keep
 
 

@@ -134,7 +134,8 @@ def _one_slip(a: str, b: str) -> bool:
 
 
 _TOKEN = re.compile(r"`[^`\n]*`|<\w+>|@\w+|(?:[\w.-]++/)+[\w.-]++|#?\d[\d.,]*+|(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)|[^\W\d_](?:[\w’'*#%@$!.&-]*[\w*])?|[^\s\w]|_+")
-_BREAK = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\s])")
+# line ends, stops, and a bracket or pictograph before a capital
+_BREAK = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\s])|(?<=[)\u2600-\u27bf\U0001f300-\U0001faff])\s+(?=[^\W\d_a-z])")
 
 
 def token_kind(token: str) -> str:
@@ -357,7 +358,8 @@ def _weights(positive: list[list[list[str]]], others: list[list[list[str]]]) ->
     for doc in others:
         b.update(seen(doc))
     base = math.log((len(others) + 1) / (len(positive) + 1))
-    return {f: v for f, n in a.items() if (v := math.log((n + 0.1) / (b[f] + 0.5)) + base) > 0}
+    # a document is no witness for itself: what one alone holds weighs nothing
+    return {f: v for f, n in a.items() if (v := math.log((n - 0.9) / (b[f] + 0.5)) + base) > 0 and n > 1}
 
 
 def _words_only(sentence: list[str], inside: np.ndarray) -> np.ndarray:
