@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +34,12 @@ SALTS = 16
 #: map tasks whose buffers of one key a single task may merge; beyond it a salted
 #: stage, as wide as the root of their number, comes before the last one
 UNSALTED_TASKS = 64
-#: groups of a map task that are held at once; beyond it they are emitted
+#: values of a map task that are held at once; beyond it their summaries are emitted
 FLUSH_VALUES = 1_500_000
+#: values and rows of summaries that a merge holds at once
+HELD_VALUES, HELD_ROWS = 2_000_000, 200_000
+#: values and rows of a batch that goes back to the JVM
+SENT_VALUES, SENT_ROWS = 250_000, 10_000
 
 
 class Summary:
@@ -102,32 +106,160 @@ def _schema(df: DataFrame, keys: list[str], tail: str) -> str:
 
 
 SUMMARY = "level int, n bigint, err double, buffer array<double>"
+_TAIL = [("level", pa.int32()), ("n", pa.int64()), ("err", pa.float64()), ("buffer", pa.list_(pa.float64()))]
 
 
-def _emit(held: dict[tuple, Summary], keys: list[str], kinds: dict) -> pd.DataFrame:
-    rows = [(*k, *r) for k, s in held.items() for r in s.rows()]
-    out = pd.DataFrame(rows, columns=[*keys, "level", "n", "err", "buffer"])
-    return _typed(out, kinds)
+def _coded(batch: pa.RecordBatch, keys: list[str]) -> pa.Table:
+    """The keys of a batch as dictionaries, the other columns as they are."""
+    cols = [c.dictionary_encode() if k in keys else c for k, c in zip(batch.schema.names, batch.columns)]
+    return pa.table(cols, names=batch.schema.names)
 
 
-def _typed(out: pd.DataFrame, kinds: dict) -> pd.DataFrame:
-    for k, kind in kinds.items():
-        if kind in ("bigint", "int"):
-            out[k] = out[k].astype("Int64")
-        else:
-            out[k] = out[k].astype(object).where(out[k].notna(), None)
-    return out
+def _joined(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).unify_dictionaries().combine_chunks()
+
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    chunks = table[name].chunks
+    return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
 
-def _key_tuples(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, list[tuple]]:
-    """Group codes of the rows and the key of each code; nulls are a key."""
-    codes = np.zeros(len(pdf), dtype=np.int64)
+
+def _codes(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Group code of each row and the first row of each code; nulls are a key."""
+    codes, most = np.zeros(len(table), dtype=np.int64), 1
     for k in keys:
-        c, u = pd.factorize(pdf[k], use_na_sentinel=True)
-        codes = codes * (len(u) + 1) + (c + 1)
+        col = _column(table, k)
+        width = len(col.dictionary) + 1
+        if most * width >= 1 << 62:
+            found, codes = np.unique(codes, return_inverse=True)
+            most = len(found)
+        codes = codes * width + col.indices.fill_null(width - 1).to_numpy(zero_copy_only=False)
+        most *= width
     _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-    cols = [[None if pd.isna(x) else (int(x) if isinstance(x, (float, np.integer)) else x) for x in pdf[k].iloc[first]] for k in keys]
-    return inverse, list(zip(*cols))
+    return inverse.astype(np.int32), first
+
+
+class Groups:
+    """The groups of a table of summaries: keys, level, n, err, buffer.
+
+    Groups of few values, all of level 0 and exact, are sorted together without
+    an object for each (``ids``, ``ends``, ``values``); ``large`` has the others.
+    """
+
+    def __init__(self, table: pa.Table, keys: list[str]) -> None:
+        codes, self.first = _codes(table, keys)
+        self.keys = [_column(table, k) for k in keys]
+        if raw := "__v" in table.column_names:  # values instead of summaries
+            values = _column(table, "__v").to_numpy(zero_copy_only=False)
+            total = self.n = np.bincount(codes, minlength=len(self.first))
+            small, each = total < K * FAN, codes
+        else:
+            buffers = _column(table, "buffer")
+            values = buffers.flatten().to_numpy(zero_copy_only=False)
+            lengths = buffers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            level, n, err = (_column(table, k).to_numpy(zero_copy_only=False) for k in ("level", "n", "err"))
+            total, self.n = (np.zeros(len(self.first), dtype=np.int64) for _ in range(2))
+            high, slack = np.zeros(len(self.first), dtype=np.int64), np.zeros(len(self.first))
+            np.add.at(total, codes, lengths)
+            np.add.at(self.n, codes, n)
+            np.add.at(slack, codes, err)
+            np.maximum.at(high, codes, level)
+            small, each = (high == 0) & (total < K * FAN) & (total == self.n) & (slack == 0), np.repeat(codes, lengths)
+        kept = small[each]
+        part, of = values[kept], each[kept]
+        self.values = part[np.lexsort((part, of))]
+        self.ids = np.nonzero(small & (total > 0))[0]
+        self.ends = np.concatenate([[0], np.cumsum(total[self.ids])])
+        self.large: list[tuple[int, Summary]] = []
+        if small.all():
+            return
+        rest = np.nonzero(~small[codes])[0]
+        rest = rest[np.argsort(codes[rest], kind="stable")]
+        at = np.arange(len(codes) + 1) if raw else np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        for rows in np.split(rest, np.nonzero(np.diff(codes[rest]))[0] + 1):
+            s = Summary()
+            if raw:
+                s.add(values[rows])
+            else:
+                loose = rows[level[rows] == 0]
+                if len(loose):
+                    s.combine(0, int(n[loose].sum()), float(err[loose].sum()), np.concatenate([values[at[i] : at[i + 1]] for i in loose]))
+                for i in rows[level[rows] > 0]:
+                    s.combine(int(level[i]), int(n[i]), float(err[i]), values[at[i] : at[i + 1]])
+            self.large.append((int(codes[rows[0]]), s))
+
+    def named(self, ids: np.ndarray) -> list[pa.Array]:
+        """The keys of groups."""
+        at = pa.array(self.first[ids])
+        return [c.take(at).dictionary_decode() for c in self.keys]
+
+    def summaries(self, keys: list[str]) -> Iterator[pa.RecordBatch]:
+        """Batches of bounded size with the summary of each group."""
+
+        def batch(ids, level, n, err, ends, values) -> pa.RecordBatch:
+            tail = [pa.array(x, t) for x, (_, t) in zip((level, n, err), _TAIL)]
+            tail.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.float64())))
+            return pa.RecordBatch.from_arrays([*self.named(np.asarray(ids, dtype=np.int64)), *tail], names=[*keys, *(k for k, _ in _TAIL)])
+
+        i = 0
+        while i < len(self.ids):
+            j = min(i + SENT_ROWS, max(i + 1, int(np.searchsorted(self.ends, self.ends[i] + SENT_VALUES, "right")) - 1))
+            ids = self.ids[i:j]
+            yield batch(ids, np.zeros(j - i), self.n[ids], np.zeros(j - i), self.ends[i : j + 1] - self.ends[i], self.values[self.ends[i] : self.ends[j]])
+            i = j
+        held, count = [], 0
+        for k, (g, s) in enumerate(self.large):
+            held += [(g, *row) for row in s.rows()]
+            count = sum(len(row[-1]) for row in held)
+            if held and (count >= SENT_VALUES or k == len(self.large) - 1):
+                ids, level, n, err, buffers = zip(*held)
+                yield batch(ids, level, n, err, np.concatenate([[0], np.cumsum([len(b) for b in buffers])]), np.concatenate(buffers))
+                held = []
+
+    def percentiles(self, keys: list[str], shares: dict[str, float]) -> pa.RecordBatch:
+        """``n``, the values at ``shares`` and ``rank_error`` of each group."""
+        large = [(g, s) for g, s in self.large if s.n]
+        n = self.n[self.ids]
+        at = [np.maximum(1, np.ceil(x * n - 1e-9).astype(np.int64)) for x in shares.values()]
+        found = [self.values[self.ends[:-1] + np.minimum(r, n) - 1] for r in at]
+        more = [s.at(list(shares.values())) for _, s in large]
+        slack = [(s.err + FAN ** max([0, *(k for k, b in s.levels.items() if b)])) / s.n if s.err else 0.0 for _, s in large]
+        cols = [np.concatenate([n, np.array([s.n for _, s in large], dtype=np.int64)])]
+        cols += [np.concatenate([v, np.array([row[i] for row in more], dtype=float)]) for i, v in enumerate(found)]
+        cols.append(np.concatenate([np.zeros(len(n)), np.array(slack, dtype=float)]))
+        ids = np.concatenate([self.ids, np.array([g for g, _ in large], dtype=np.int64)])
+        return pa.RecordBatch.from_arrays([*self.named(ids), *map(pa.array, cols)], names=[*keys, "n", *shares, "rank_error"])
+
+
+def _held(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of bounded number and size, as they come."""
+    held, rows, values = [], 0, 0
+    for batch in parts:
+        if not len(batch):
+            continue
+        held.append(_coded(batch, keys))
+        rows += len(batch)
+        values += len(batch["buffer"].flatten()) if "buffer" in batch.schema.names else 0
+        if rows >= (HELD_ROWS if "buffer" in batch.schema.names else FLUSH_VALUES) or values >= HELD_VALUES:
+            yield _joined(held)
+            held, rows, values = [], 0, 0
+    if held:
+        yield _joined(held)
+
+
+def _whole(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[Groups]:
+    """Whole groups of rows that come by key; an open group is held as its summary."""
+    last = None
+    for table in _held(parts, keys):
+        if last is not None:
+            table = _joined([last, table])
+        codes, _ = _codes(table, keys)
+        start = int(np.argmax(codes == codes[-1]))
+        if start:
+            yield Groups(table.slice(0, start), keys)
+        last = _joined([_coded(b, keys) for b in Groups(table.slice(start), keys).summaries(keys)])
+    if last is not None:
+        yield Groups(last, keys)
 
 
 def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -139,31 +271,34 @@ def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     spread by salt where many map tasks send some.
     """
     ship_package(df.sparkSession)
-    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
-
-    def leaf(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Summary] = {}
-        count = 0
-        for pdf in parts:
-            codes, names = _key_tuples(pdf, keys)
-            values = pdf["__v"].to_numpy(dtype=float)
-            order = np.argsort(codes, kind="stable")
-            ends = np.cumsum(np.bincount(codes, minlength=len(names)))
-            for name, part in zip(names, np.split(values[order], ends[:-1])):
-                if (s := held.get(name)) is None:
-                    s = held[name] = Summary()
-                s.add(part)
-            count += len(pdf)
-            if count >= FLUSH_VALUES:
-                yield _emit(held, keys, kinds)
-                held, count = {}, 0
-        if held:
-            yield _emit(held, keys, kinds)
+
+    def leaf(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _held(parts, keys):
+            yield from Groups(table, keys).summaries(keys)
 
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
     width = max(SALTS, int(tasks**0.5)) if tasks > UNSALTED_TASKS else 0
-    return combine(rows.mapInPandas(leaf, _schema(df, keys, SUMMARY)), keys, local=False, salted=width)
+    return combine(rows.mapInArrow(leaf, _schema(df, keys, SUMMARY)), keys, local=False, salted=width)
+
+
+def _gathered(summaries: DataFrame, keys: list[str], local: bool, salted: int) -> DataFrame:
+    """Summaries of a key side by side, merged before as :func:`combine` says."""
+    ship_package(summaries.sparkSession)
+    schema = _schema(summaries, keys, SUMMARY)
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _held(parts, keys):
+            yield from Groups(table, keys).summaries(keys)
+
+    out = summaries.select(*keys, "level", "n", "err", "buffer")
+    if local:
+        out = out.mapInArrow(merge, schema)
+    if salted:
+        out = out.withColumn("__salt", F.pmod(F.xxhash64("buffer"), F.lit(salted))).repartition(*keys, "__salt").drop("__salt")
+        out = out.mapInArrow(merge, schema)
+    # the content breaks ties, so equal inputs merge in one order
+    return out.repartition(*keys).sortWithinPartitions(*keys, "level", F.xxhash64("buffer"))
 
 
 def combine(summaries: DataFrame, keys: list[str], local: bool = True, salted: int = 0) -> DataFrame:
@@ -173,38 +308,12 @@ def combine(summaries: DataFrame, keys: list[str], local: bool = True, salted: i
     partition sends a bounded number of buffers; ``salted`` adds a stage that
     spreads hot keys over so many tasks before the last one.
     """
-    kinds = {k: summaries.schema[k].dataType.simpleString() for k in keys}
-    schema = _schema(summaries, keys, SUMMARY)
 
-    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Summary] = {}
-        for pdf in parts:
-            cols = [pdf[k].tolist() for k in keys]
-            for i, (level, n, err, buffer) in enumerate(zip(pdf["level"], pdf["n"], pdf["err"], pdf["buffer"])):
-                key = tuple(None if pd.isna(c[i]) else (int(c[i]) if kinds[k] in ("bigint", "int") else c[i]) for k, c in zip(keys, cols))
-                if (s := held.get(key)) is None:
-                    if len(held) >= 512 and sorted_input:
-                        yield _emit(held, keys, kinds)
-                        held = {}
-                    s = held[key] = Summary()
-                s.combine(int(level), int(n), float(err), np.asarray(buffer, dtype=float))
-        if held:
-            yield _emit(held, keys, kinds)
-
-    sorted_input = False
-    out = summaries.select(*keys, "level", "n", "err", "buffer")
-    if local:
-        out = out.mapInPandas(merge, schema)
-    if salted:
-        out = out.withColumn("__salt", F.pmod(F.xxhash64("buffer"), F.lit(salted))).repartition(*keys, "__salt").drop("__salt")
-        out = out.mapInPandas(merge, schema)
-    sorted_input = True
-    # the content breaks ties, so equal inputs merge in one order
-    return (
-        out.repartition(*keys)
-        .sortWithinPartitions(*keys, "level", F.xxhash64("buffer"))
-        .mapInPandas(merge, schema)
-    )
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _whole(parts, keys):
+            yield from groups.summaries(keys)
+
+    return _gathered(summaries, keys, local, salted).mapInArrow(merge, _schema(summaries, keys, SUMMARY))
 
 
 def percentiles(summaries: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
@@ -214,29 +323,15 @@ def percentiles(summaries: DataFrame, keys: list[str], shares: dict[str, float])
     of a returned value may lie from the one asked for. Takes the result of
     :func:`summarise` or :func:`combine`, whose rows of a key are adjacent.
     """
-    kinds = {k: summaries.schema[k].dataType.simpleString() for k in keys}
-    names = list(shares)
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last = None, None
-
-        def row():
-            slack = held.err + FAN ** max([0, *(k for k, b in held.levels.items() if b)])
-            return (*last, held.n, *held.at([shares[x] for x in names]), 0.0 if not held.err else slack / held.n)
-
-        for pdf in parts:
-            rows = []
-            cols = [pdf[k].tolist() for k in keys]
-            for i, (level, n, err, buffer) in enumerate(zip(pdf["level"], pdf["n"], pdf["err"], pdf["buffer"])):
-                key = tuple(None if pd.isna(c[i]) else (int(c[i]) if kinds[k] in ("bigint", "int") else c[i]) for k, c in zip(keys, cols))
-                if key != last:
-                    if held is not None:
-                        rows.append(row())
-                    held, last = Summary(), key
-                held.combine(int(level), int(n), float(err), np.asarray(buffer, dtype=float))
-            yield _typed(pd.DataFrame(rows, columns=[*keys, "n", *names, "rank_error"]), kinds)
-        if held is not None:
-            yield _typed(pd.DataFrame([row()], columns=[*keys, "n", *names, "rank_error"]), kinds)
-
-    tail = "n bigint, " + ", ".join(f"{x} double" for x in names) + ", rank_error double"
-    return summaries.mapInPandas(read, _schema(summaries, keys, tail))
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _whole(parts, keys):
+            yield groups.percentiles(keys, shares)
+
+    tail = "n bigint, " + ", ".join(f"{x} double" for x in shares) + ", rank_error double"
+    return summaries.mapInArrow(read, _schema(summaries, keys, tail))
+
+
+def combined_percentiles(summaries: DataFrame, keys: list[str], shares: dict[str, float], salted: int = 0) -> DataFrame:
+    """:func:`percentiles` of :func:`combine`, with one Python worker less in a task."""
+    return percentiles(_gathered(summaries, keys, True, salted), keys, shares)

@@ -48,8 +48,7 @@ _KEYS = ["grouping", "family", "repo_id", "day", "metric"]
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of every grouping, combined from summaries of single days."""
     days = quantiles.summarise(_measures(spark, sf_dir), ["family", "repo_id", "day", "metric"], "value")
-    whole = quantiles.combine(_grouped(days), _KEYS, salted=quantiles.SALTS)
-    return quantiles.percentiles(whole, _KEYS, SHARES)
+    return quantiles.combined_percentiles(_grouped(days), _KEYS, SHARES, salted=quantiles.SALTS)
 
 
 def _bound_check(spark: SparkSession, sf_dir: str, wanted: Column) -> DataFrame:

@@ -1,6 +1,8 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,51 @@ def test_groupings_with_day(spark, monkeypatch):
     got = Counter(r.grouping for r in queries.p1_percentiles(spark, "").collect())
     assert got == {"family": 2, "repo": 2, "day": 2, "family_repo": 4, "all": 1, "family_day": 4, "repo_day": 4, "family_repo_day": 8}
     assert {(r.grouping, r.groups, r.within) for r in queries.p1_bound_check_day(spark, "").collect()} == {("family_day", 4, True), ("repo_day", 4, True), ("family_repo_day", 8, True)}
+
+
+def test_many_groups_in_bounded_memory(spark, monkeypatch):
+    """100,000 groups of one task take a small share of an executor's memory."""
+    steps = []
+    kind = type(spark.range(1))
+    for name in ("mapInArrow", "mapInPandas"):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, f, *a, _real=real, _name=name: steps.append((_name, f)) or _real(self, f, *a))
+    n = 100_000
+    Q.combine(Q.summarise(spark.createDataFrame([("a", 1.0)], "g string, v double"), ["g"], "v"), ["g"])
+    keys = [f"k{i}" for i in range(n)]
+    values = pa.table({"g": keys, "__v": np.arange(n, dtype=float)})
+    rows = pa.table({"g": keys, "level": pa.array(np.zeros(n), pa.int32()), "n": np.ones(n, dtype=np.int64), "err": np.zeros(n), "buffer": pa.array([[1.0]] * n)})
+    assert len(steps) == 4
+    for (name, step), table in zip(steps, [values, *[rows] * 3]):
+        batches = table.to_batches(max_chunksize=10_000)
+        parts = iter(batches if name == "mapInArrow" else [b.to_pandas() for b in batches])
+        tracemalloc.start()
+        count = sum(map(len, step(parts)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == n and peak < 40e6
+
+
+def test_merges_held_in_parts(spark, monkeypatch):
+    """Groups that are cut by what a task holds at once are whole in the end."""
+    monkeypatch.setattr(Q, "HELD_VALUES", 5_000)
+    monkeypatch.setattr(Q, "SENT_VALUES", 300)
+    n = 120_000
+    tables = []
+    for g, size in (("a", 5), ("b", n), (None, 900), ("d", 40_000)):
+        summary = Q.Summary()
+        summary.add(np.arange(size, dtype=float))
+        tables += [(g, *r) for r in summary.rows()]
+    tables += [(g, 0, 1, 0.0, np.array([1.0])) for g in ("a", "d", "e")]
+    tables.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    cols = dict(zip(("g", "level", "n", "err", "buffer"), zip(*tables)))
+    table = pa.table({"g": pa.array(cols["g"]), "level": pa.array(cols["level"], pa.int32()), "n": pa.array(cols["n"], pa.int64()), "err": pa.array(cols["err"]), "buffer": pa.array([list(b) for b in cols["buffer"]])})
+    merged = [b for groups in Q._whole(iter(table.to_batches(max_chunksize=1)), ["g"]) for b in groups.summaries(["g"])]
+    got = {}
+    for groups in Q._whole(iter(merged), ["g"]):
+        for r in groups.percentiles(["g"], SHARES).to_pylist():
+            assert r["g"] not in got
+            got[r["g"]] = r
+    assert {k: r["n"] for k, r in got.items()} == {"a": 6, "b": n, None: 900, "d": 40_001, "e": 1}
+    assert got["a"]["p50"] == 1.0 and got[None]["p99"] == 890.0 and got[None]["rank_error"] == 0.0
+    assert all(abs(got["b"][k] / n - share) <= got["b"]["rank_error"] < 0.005 for k, share in SHARES.items())
