@@ -1,23 +1,163 @@
 """Similar token streams and leader groups.
 
-Candidates are lossless: with a multiset similarity of ``share`` (Dice) two
-streams of m and n tokens have ``share * (m + n) / 2`` in common, so of the
-elements (token, how manyth occurrence), ordered by rarity, one of the first
-``m - ceil(m * share / (2 - share)) + 1`` is shared. The equi-join on these
-elements replaces comparing all pairs; the verification is by longest common
-subsequence, which the multiset bound can't undercut.
+Normalised streams have a few dozen distinct tokens, so neither prefixes nor
+q-grams tell similar from other pairs: two thirds of all pairs of fitting length
+also have tokens enough in common. Streams are therefore packed into blocks by
+language and length, and blocks that may hold a similar pair meet in a cartesian
+product, which writes no pair. A block is compared with a stream at a time, by
+the longest common subsequence of all that fit in length, in bit-parallel steps
+over 64-bit words, and streams whose best possible outcome falls short are
+dropped on the way. The result is that of comparing all
+pairs; the time still grows with the square of the streams of like length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, written
-from .functions import lcs_similar
+
+#: streams of a block on either side, and most words of its bit masks
+NARROW, WIDE, MASK_WORDS = 256, 8192, 4_000_000
+#: most partitions of the wide blocks
+WIDE_PARTS = 2000
+#: bits of a word; the highest one takes the carry
+BITS = 63
+FULL = np.uint64((1 << BITS) - 1)
+#: shares of a stream after which hopeless partners are dropped
+LOOKS = (0.5, 0.6)
+
+BLOCK = "language string, lo int, first bigint, hi int, digests array<bigint>, lengths array<int>, vocabulary array<string>, ids binary"
+
+
+def _packed(table: pa.Table, most: int) -> Iterator[dict]:
+    """Blocks of at most ``most`` rows, halved until their masks are small."""
+    lists = pc.split_pattern(table["stream"].combine_chunks(), " ")
+    coded = lists.flatten().dictionary_encode()
+    n = table["n"].to_numpy()
+    if len(table) > most or (len(table) > 1 and len(coded.dictionary) * -(-int(n.max()) // BITS) * len(table) > MASK_WORDS):
+        half = min(most, len(table) // 2)
+        for part in (table.slice(0, half), table.slice(half)):
+            yield from _packed(part, most)
+        return
+    digests = table["digest"].to_numpy()
+    yield {
+        "language": table["language"][0].as_py(), "lo": int(n.min()), "first": int(digests[0]), "hi": int(n.max()), "digests": digests, "lengths": n.astype(np.int32),
+        "vocabulary": coded.dictionary.to_pylist(), "ids": coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32 if len(coded.dictionary) > 1 << 16 else np.uint16).tobytes(),
+    }
+
+
+def _blocks(kinds: DataFrame, most: int) -> DataFrame:
+    """``kinds`` (language, digest, n, stream) packed by language and length."""
+    names, types = ["language", "lo", "first", "hi", "digests", "lengths", "vocabulary", "ids"], [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary()]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _packed(pa.Table.from_batches(held), most):
+                yield pa.RecordBatch.from_arrays([pa.array([block[k]], t) for k, t in zip(names, types)], names=names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            languages = batch["language"].fill_null("").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.nonzero(languages[1:] != languages[:-1])[0] + 1).tolist(), len(batch)]
+            for i, j in zip(cuts, cuts[1:]):
+                while i < j:
+                    if held and (held[0]["language"][0] != batch["language"][i] or sum(map(len, held)) >= most):
+                        yield from out(held)
+                        held = []
+                    k = min(j, i + most - sum(map(len, held)))
+                    held.append(batch.slice(i, k - i))
+                    i = k
+        if held:
+            yield from out(held)
+
+    rows = kinds.select("language", "digest", "n", "stream")
+    return rows.repartitionByRange("language", "n", "digest").sortWithinPartitions("language", "n", "digest").mapInArrow(pack, BLOCK)
+
+
+class Block:
+    """A block of streams of one language, by length and digest."""
+
+    def __init__(self, lengths: np.ndarray, digests: np.ndarray, vocabulary: list[str], ids: bytes) -> None:
+        self.n, self.digests, self.vocabulary = lengths.astype(np.int64), digests, vocabulary
+        self.ids = np.frombuffer(ids, np.uint32 if len(vocabulary) > 1 << 16 else np.uint16).astype(np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+
+    def masks(self) -> np.ndarray:
+        """Places of each word: word of the vocabulary, 63 places, stream."""
+        words, k = -(-int(self.n.max()) // BITS), len(self.n)
+        place = np.arange(len(self.ids)) - self.ends[self.of]
+        out = np.zeros(len(self.vocabulary) * words * k, dtype=np.uint64)
+        np.bitwise_or.at(out, (self.ids * words + place // BITS) * k + self.of, np.uint64(1) << (place % BITS).astype(np.uint64))
+        return out.reshape(len(self.vocabulary), words, k)
+
+
+def _reachable(row: np.ndarray, n: np.ndarray, left: int) -> np.ndarray:
+    """Most that a common subsequence can have with ``left`` tokens to come."""
+    third = BITS // 3
+    free = row ^ FULL
+    parts = np.stack([np.bitwise_count((free >> np.uint64(third * g)) & np.uint64((1 << third) - 1)) for g in range(3)], axis=1)
+    upto = np.cumsum(parts.reshape(-1, parts.shape[-1]), axis=0, dtype=np.int32)
+    after = n.astype(np.int32)[None, :] - third * np.arange(len(upto), dtype=np.int32)[:, None]
+    return (upto + np.clip(after, 0, left)).max(axis=0)
+
+
+def _common(tokens: np.ndarray, masks: np.ndarray, n: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The streams whose longest common subsequence with ``tokens`` has ``need``.
+
+    ``tokens``: words of the vocabulary of ``masks``, -1 where it lacks them.
+    The streams are compared where they lie until few are left.
+    """
+    looks = {int(len(tokens) * x) for x in LOOKS}
+    words = -(-int(n.max()) // BITS)
+    masks, at = masks[:, :words], np.arange(len(n))
+    row = np.full((words, len(n)), FULL)
+    hit, total, carry = np.empty_like(row), np.empty_like(row), np.empty_like(row[0])
+    for j, t in enumerate(tokens.tolist()):
+        if j in looks:
+            alive = _reachable(row, n, len(tokens) - j) >= need
+            if not alive.any():
+                return at[:0]
+            if alive.mean() < 0.5:
+                at, n, need, row, masks = at[alive], n[alive], need[alive], row[:, alive], masks[:, :, alive]
+                hit, total, carry = np.empty_like(row), np.empty_like(row), np.empty_like(row[0])
+        if t < 0:
+            continue
+        np.bitwise_and(row, masks[t], out=hit)
+        np.add(row, hit, out=total)
+        for w in range(1, words):
+            np.right_shift(total[w - 1], BITS, out=carry)
+            np.add(total[w], carry, out=total[w])
+        np.bitwise_xor(row, hit, out=row)
+        np.bitwise_or(row, total, out=row)
+        np.bitwise_and(row, FULL, out=row)
+    return at[np.bitwise_count(row ^ FULL).sum(axis=0, dtype=np.int64) >= need]
+
+
+def met(a: Block, b: Block, b_masks: np.ndarray, share: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Digests of ``b``, later by (length, digest), similar to each one of ``a``."""
+    whole = int(round(share * 1000))
+    place = {t: i for i, t in enumerate(b.vocabulary)}
+    to = np.array([place.get(t, -1) for t in a.vocabulary], dtype=np.int64)
+    for i, m in enumerate(a.n.tolist()):
+        low, high = np.searchsorted(b.n, m, "left"), np.searchsorted(b.n, m, "right")
+        start = low + np.searchsorted(b.digests[low:high], a.digests[i], "right")
+        need = -(-whole * (m + b.n[start:]) // 2000)
+        fits = int(np.searchsorted(need, m, "right"))  # need grows with the length
+        if not fits:
+            continue
+        need = need[:fits]
+        part = slice(start, start + fits)
+        found = _common(to[a.ids[a.ends[i] : a.ends[i + 1]]], b_masks[:, :, part], b.n[part], need[:fits])
+        if len(found):
+            yield int(a.digests[i]), b.digests[start + found]
 
 
 def similar_streams(functions: DataFrame, share: float, least_tokens: int) -> DataFrame:
@@ -26,30 +166,39 @@ def similar_streams(functions: DataFrame, share: float, least_tokens: int) -> Da
     ``functions``: language, digest, tokens, stream. Equal streams are one
     digest and appear in no pair.
     """
-    ship_package(functions.sparkSession)
+    spark = functions.sparkSession
+    ship_package(spark)
     kinds = written(
-        functions.where(F.col("tokens") >= least_tokens).groupBy("language", "digest").agg(F.max("tokens").alias("n"), F.max("stream").alias("stream")),
+        functions.where((F.col("tokens") >= least_tokens) & F.col("language").isNotNull()).groupBy("language", "digest").agg(F.max("tokens").cast("int").alias("n"), F.max("stream").alias("stream")),
         "streams",
     )
-    words = kinds.select("language", "digest", "n", F.explode(F.split("stream", " ")).alias("t")).groupBy("language", "digest", "n", "t").agg(F.count("*").alias("c"))
-    elements = words.select("language", "digest", "n", "t", F.explode(F.sequence(F.lit(1).cast("bigint"), "c")).alias("k"))
-    rarity = elements.groupBy("language", "t", "k").agg(F.count("*").alias("df"))
-    ranked = elements.join(rarity, ["language", "t", "k"]).groupBy("language", "digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", "k"))).alias("r"))
-    length = (F.col("n") - F.ceil(F.col("n") * (share / (2 - share)) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("language", "digest", "n", F.explode(F.slice("r", F.lit(1), length)).alias("p")).select("language", "digest", "n", "p.t", "p.k")
-    other = prefix.withColumnsRenamed({"digest": "other", "n": "m"})
-    met = prefix.join(other, ["language", "t", "k"]).where((F.col("digest") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * (share / (2 - share)) - 1e-9))
-    pairs = met.select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct()
-    texts = kinds.groupBy("digest").agg(F.max("stream").alias("stream"))
-    both = pairs.join(texts.withColumnsRenamed({"digest": "a", "stream": "x"}), "a").join(texts.withColumnsRenamed({"digest": "b", "stream": "y"}), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    narrow, wide = written(_blocks(kinds, NARROW), "narrow"), written(_blocks(kinds, WIDE), "wide")
+    parts = max(1, min(WIDE_PARTS, wide.count()))
+    few = max(1, -(-16 * spark.sparkContext.defaultParallelism // parts))
+    x, y = (df.select(*[F.col(c).alias(f"{k}_{c}") for c in df.columns]) for k, df in (("x", narrow.repartition(few)), ("y", wide.repartition(parts))))
+    # a stream's partners are at most so much longer; a little more than exact
+    near = (F.col("x_language") == F.col("y_language")) & (F.col("y_hi") >= F.col("x_lo")) & (F.col("y_lo") <= F.col("x_hi") * ((2 - share) / share) + 2)
+    both = x.hint("shuffle_replicate_nl").join(y, near)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, tuple] = {}
         for batch in batches:
-            kept = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if lcs_similar(x.split(" "), y.split(" "), share)]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
+            for i in range(len(batch)):
+                r = batch.slice(i, 1)
+                sides = []
+                for k in "xy":
+                    ids = [r[f"{k}_{c}"][0] for c in ("lengths", "digests", "vocabulary", "ids")]
+                    name = (k, r[f"{k}_language"][0].as_py(), r[f"{k}_lo"][0].as_py(), r[f"{k}_first"][0].as_py())
+                    if name not in kept:
+                        for old in [o for o in kept if o[0] == k]:
+                            del kept[old]
+                        block = Block(ids[0].values.to_numpy(), ids[1].values.to_numpy(), ids[2].as_py(), ids[3].as_py())
+                        kept[name] = (block, block.masks()) if k == "y" else (block,)
+                    sides.append(kept[name])
+                for a, found in met(*sides[0], *sides[1], share):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, found)), pa.array(np.maximum(a, found))], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    return both.select(*[f"{k}_{c}" for k in "xy" for c in ("language", "lo", "first", "lengths", "digests", "vocabulary", "ids")]).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def leader_groups(nodes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:

@@ -599,9 +599,10 @@ def similar_functions(spark, sf_dir):
 
     Order is that of the first function with a stream (file, line).
     """
-    f = functions.function_facts(_files(spark, sf_dir).where("NOT coalesce(is_test, false)"), streams=True)
+    scanned = functions.function_facts(_files(spark, sf_dir).where("NOT coalesce(is_test, false)"), streams=True)
+    f = written(scanned.where("tokens >= 80").select("file_id", "line", "language", "digest", "tokens", "stream"), "functions")
     pairs = similarity.similar_streams(f, 0.85, 80)
-    place = f.where("tokens >= 80").groupBy("digest").agg(F.min(F.col("file_id") * 1_000_000 + F.col("line")).alias("ord"), F.count("*").alias("functions"))
+    place = f.groupBy("digest").agg(F.min(F.col("file_id") * 1_000_000 + F.col("line")).alias("ord"), F.count("*").alias("functions"))
     named = pairs.join(place.select(F.col("digest").alias("a"), F.col("ord").alias("x")), "a").join(place.select(F.col("digest").alias("b"), F.col("ord").alias("y")), "b")
     groups = similarity.leader_groups(place, named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), 2)
     return groups.join(place.withColumnRenamed("ord", "member"), "member").groupBy("leader").agg(F.count("*").alias("streams"), F.sum("functions").alias("functions"))

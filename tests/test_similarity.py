@@ -46,3 +46,24 @@ def test_leaders_against_sequence(spark, least):
 def test_nothing_similar(spark):
     nodes = spark.createDataFrame([(1,)], "ord bigint")
     assert S.leader_groups(nodes, spark.createDataFrame([], "a bigint, b bigint"), 2).count() == 0
+
+
+def test_blocks_against_all_pairs(spark):
+    """Candidates aren't written; long streams, several blocks and lost tokens keep every pair."""
+    rng, rows = random.Random(1), []
+    for _ in range(40):
+        base = [rng.choice("ID NUM ( ) ; if return = + STR".split()) for _ in range(rng.randrange(20, 400))]
+        for _ in range(4):
+            c = list(base)
+            for _ in range(rng.randrange(int(len(c) * 0.3))):
+                k = rng.randrange(len(c))
+                if rng.random() < 0.5:
+                    del c[k]
+                else:
+                    c.insert(k, rng.choice(["ID", "x", "else"]))
+            rows.append(("go", rng.getrandbits(60), len(c), " ".join(c)))
+    pairs = S.similar_streams(spark.createDataFrame(rows, "language string, digest bigint, tokens bigint, stream string"), 0.85, 20)
+    assert "CartesianProduct" in pairs._jdf.queryExecution().toString()
+    kept = [r for r in rows if r[2] >= 20]
+    want = {(a[1], b[1]) for a in kept for b in kept if a[1] < b[1] and Fn.lcs_similar(a[3].split(), b[3].split(), 0.85)}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 50
