@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lithoscope.operators import functions as Fn
@@ -67,3 +68,42 @@ def test_blocks_against_all_pairs(spark):
     kept = [r for r in rows if r[2] >= 20]
     want = {(a[1], b[1]) for a in kept for b in kept if a[1] < b[1] and Fn.lcs_similar(a[3].split(), b[3].split(), 0.85)}
     assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 50
+
+
+def _block(streams):
+    words = sorted({t for s in streams for t in s})
+    order = sorted(range(len(streams)), key=lambda i: (len(streams[i]), i))
+    ids = np.array([words.index(t) for i in order for t in streams[i]], dtype=np.int64)
+    return S.Block(np.array([len(streams[i]) for i in order]), np.array(order, dtype=np.int64), words, ids)
+
+
+@pytest.mark.parametrize("share", [0.7, 0.85, 0.95])
+def test_rare_words_lose_no_pair(share):
+    """Streams of frequent words only, of rare ones only, of one token and of many words."""
+    rng, streams = random.Random(4), [["ID"], ["if"], ["ID"] * 150, ["ID", "."] * 80]
+    for _ in range(60):
+        length = rng.choice([3, 40, 90, 130, 300])
+        base = rng.choices("ID . ( ) , if for = [ ] NUM STR return + - { } ;".split(), [30, 12, 10, 10, 8, *[2] * 13], k=length)
+        for _ in range(4):
+            c = list(base)
+            for _ in range(rng.randrange(int(length * 0.25) + 1)):
+                k = rng.randrange(len(c))
+                c[k : k + rng.randrange(2)] = rng.choice([[], ["ID"], ["while"], ["="]])
+                c = c or ["ID"]
+            streams.append(c)
+    streams = [list(x) for x in dict.fromkeys(map(tuple, streams))]
+    got = [(x, y) for f, g in S.met(_block(streams[::2] + streams[1::2]), S.Partners(_block(streams[::2] + streams[1::2])), share) for x, y in zip(f.tolist(), g.tolist())]
+    kept = streams[::2] + streams[1::2]
+    want = {(i, j) for i in range(len(kept)) for j in range(i) if Fn.lcs_similar(kept[i], kept[j], share)}
+    assert {(max(p), min(p)) for p in got} == want and len(got) == len(want) > 10
+
+
+def test_hopeless_pairs_end_early(monkeypatch):
+    """Streams of like length and like tokens in another order take a small part of the steps."""
+    rng, steps, step = random.Random(3), [], S._step
+    words = "ID . ( ) , if for = [ ] NUM STR return + - { } ;".split()
+    tokens = rng.choices(words, [30, 12, 10, 10, 8, *[3] * 13], k=200)
+    block = _block([rng.sample(tokens, 200) for _ in range(100)])
+    monkeypatch.setattr(S, "_step", lambda row, *rest: steps.append(row.size) or step(row, *rest))
+    assert not list(S.met(block, S.Partners(block), 0.85))
+    assert sum(steps) < 0.15 * 200 * 4 * 100 * 99 / 2  # 200 tokens, four words of 63 places, all pairs
